@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, url_filters
+from . import chat_format, packing, quality_rules, secrets, url_filters
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_packing": packing.op9_packing,
 }
 
 ORACLE_SQL = {
+    "op2_secrets": secrets.SQL,
     "op4_url_filters": url_filters.SQL,
+    "op6_quality_rules": quality_rules.SQL,
     "op8_chat_format": chat_format.SQL,
 }
