@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, secrets, url_filters
+from . import chat_format, language_id, packing, quality_classifier, quality_rules, secrets, url_filters
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op5_quality": quality_classifier.op5_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_language_id": language_id.op7_language_id,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_packing": packing.op9_packing,
 }
