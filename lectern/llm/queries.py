@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, packing, quality_classifier, quality_rules, secrets, url_filters
+from . import chat_format, language_id, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filters
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_quality": quality_classifier.op5_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
