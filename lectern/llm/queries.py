@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filters
+from . import chat_format, decontamination, language_id, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filters
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_packing": packing.op9_packing,
+    "op10_decontaminate": decontamination.op10_decontaminate,
 }
 
 ORACLE_SQL = {
