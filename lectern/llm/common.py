@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -48,10 +49,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what follows neither computes df again nor depends
     on an executor that may be lost.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()  # so that Spark sees which shuffles nothing refers to any more, and frees their disk
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language_id, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filters
+from . import chat_format, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_secrets": secrets.op2_secrets,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filters": url_filters.op4_url_filters,
