@@ -58,6 +58,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sheltered(df: DataFrame, *names: str):
+    """df with all columns but names under names of their own, and a function that gives them back.
+
+    With this an operator's own columns cannot clash with any that it carries.
+    """
+    before = df.columns
+    inside = [c if c in names else f"__carried_{i}" for i, c in enumerate(before)]
+    return df.toDF(*inside), lambda out: out.select(*inside).toDF(*before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

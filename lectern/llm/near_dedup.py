@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, sheltered
 from .graph import components
 from .substring_dedup import Hasher
 
@@ -184,7 +184,7 @@ def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """doc_id, tfp (xxhash64 of the text), n_shingles and component_id (the least doc_id linked) of every row."""
+    """doc_id, tfp (xxhash64 of the text), n_shingles component_id (the least doc_id linked) and first (one row of each component) of every row."""
     texts = _texts(df)
     rows = texts.mapInArrow(_sketch_rows(words, k), "doc_id bigint, tfp bigint, n bigint, fp binary, sketch array<bigint>")
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -221,11 +221,31 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k
         if last:
             break
     named = labels.join(classes.select("node", "rep"), "node")
-    least = keep(named.groupBy("component").agg(F.min("rep").alias("component_id")), "components")
-    named = named.join(least, "component").select("node", "component_id")
-    classes = keep(classes.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "classes")
-    out = rows.select("doc_id", "tfp", "n", "fp").join(classes, "fp", "left")
-    return out.select("doc_id", "tfp", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Of each component the class with the least doc_id stands for it.
+    least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")
+    least = keep(named.groupBy("component").agg(least).select("component", F.col("least.rep").alias("component_id"), F.col("least.node").alias("first")), "components")
+    named = named.join(least, "component").select("node", "component_id", "first")
+    classes = classes.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", "node").alias("first"))
+    out = rows.select("doc_id", "tfp", "n", "fp", "row").join(keep(classes, "classes"), "fp", "left")
+    return out.select("doc_id", "tfp", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("first"))
+
+
+def first_of_each(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """The rows of df without near duplicates: of each component one row stays, as does every row without words."""
+    df, restore = sheltered(df, "doc_id", "text")
+    stay = near_duplicates(df, words, percent, k).where("first").select(_key("doc_id", "tfp").alias("__key"), F.col("tfp").alias("__tfp"))
+    stay = keep(stay.distinct(), "stay")
+    own = df.withColumn("__tfp", F.xxhash64("text"))
+    own = own.withColumn("__key", _key(F.col("doc_id").cast("bigint"), "__tfp"))
+    found = own.join(stay, ["__key", "__tfp"])
+    # Rows that repeat doc_id and text have both found the one that stays.
+    again = found.where(F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) > 0).dropDuplicates(["__key", "__tfp"])
+    empty = own.where(F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0)
+    return restore(again.select(*df.columns).union(empty.select(*df.columns)))
+
+
+def _key(doc_id, tfp) -> Column:
+    return F.xxhash64(doc_id, tfp, F.lit("row"))
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, keep, mix
+from .common import crc_bucket, mix
 
 UNITS, DIMS, NONZERO, REACH = 8192, 64, 2, 2
 UPPER, REPEAT = 0, 1  # the markers' units; hashed units start at 2
@@ -193,58 +193,45 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """df with score and predicted (columns of these names in df are replaced). labels: key, quality."""
-    df = df.drop("score", "predicted")
-    vectors = learn_vectors(df, text)
-    sent = df.sparkSession.sparkContext.broadcast(vectors)  # UNITS x 2 DIMS floats
-    fields = [f for f in df.schema.fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__pooled binary"])
+def learn(df: DataFrame, labels: DataFrame, vectors, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Network:
+    """The network, from at most `sample` labelled documents; vectors: broadcast."""
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & (crc_bucket(key, 5) != 0))
+    chosen = usable.groupBy(F.col(key).cast("bigint").alias("__k")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("__k"), "__k").limit(sample)
+    taken = df.select(F.col(key).cast("bigint").alias("__k"), F.col(text).alias("text")).join(F.broadcast(chosen), "__k")  # `sample` rows are sent
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pooled(t, sent.value).tobytes() for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "__pooled"])
-
-    return _scored(keep(df.mapInArrow(pool, schema), "pooled"), labels, key, sample, threshold)
-
+            found = [pooled(t, vectors.value).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"__k": batch.column("__k"), "quality": batch.column("quality").cast(pa.int32()), "pooled": pa.array(found, pa.binary())})
 
-def _scored(features: DataFrame, labels: DataFrame, key: str, sample: int, threshold: float) -> DataFrame:
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & (crc_bucket(key, 5) != 0))
-    chosen = usable.groupBy(F.col(key).alias("__k")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("__k"), "__k").limit(sample)
-    joined = features.select(F.col(key).alias("__k"), "__pooled").join(F.broadcast(chosen), "__k")  # `sample` rows are sent
-    rows = joined.groupBy("__k").agg(F.min("quality").alias("quality"), F.min("__pooled").alias("pooled"), (F.min(crc_bucket("__k", 5)) == 1).alias("calibrate")).collect()
+    rows = taken.select("__k", "quality", "text").mapInArrow(pool, "__k bigint, quality int, pooled binary")
+    rows = rows.groupBy("__k").agg(F.min("quality").alias("quality"), F.min("pooled").alias("pooled"), (F.min(crc_bucket("__k", 5)) == 1).alias("calibrate")).collect()
     rows.sort(key=lambda r: r["__k"])
     x = np.array([np.frombuffer(r["pooled"], np.float32) for r in rows], np.float64).reshape(-1, WIDTH)
-    network = Network(x, np.array([r["quality"] for r in rows], int), np.array([r["calibrate"] for r in rows], bool))
-    sent = features.sparkSession.sparkContext.broadcast(network)
+    return Network(x, np.array([r["quality"] for r in rows], int), np.array([r["calibrate"] for r in rows], bool))
 
-    @F.pandas_udf("double")
-    def scored(pooled_bytes):
-        import pandas as pd
 
-        x = np.frombuffer(b"".join(pooled_bytes), np.float32).reshape(-1, WIDTH)
-        return pd.Series(sent.value.scores(x.astype(np.float64)))
+def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, drop_text: bool = False) -> DataFrame:
+    """df with score and predicted (columns of these names in df are replaced). labels: key, quality."""
+    df = df.drop("score", "predicted")
+    context = df.sparkSession.sparkContext
+    vectors = context.broadcast(learn_vectors(df, text))  # UNITS x 2 DIMS floats
+    network = context.broadcast(learn(df, labels, vectors, key, text, sample))
+    kept = [f for f in df.schema.fields if not (drop_text and f.name == text)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
+    place, shown = df.columns.index(text), [df.columns.index(f.name) for f in kept]
 
-    out = features.withColumn("score", scored("__pooled")).drop("__pooled")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([pooled(t, vectors.value) for t in batch.column(place).to_pylist()], np.float64).reshape(-1, WIDTH)
+            yield pa.record_batch([*(batch.column(i) for i in shown), pa.array(network.value.scores(x), pa.float64())], names=[*(f.name for f in kept), "score"])
+
+    out = df.mapInArrow(run, schema)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = score_ids(documents, labels)
+    scored = score(documents, labels, drop_text=True)
     return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
-
-
-def score_ids(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """As :func:`score`, for doc_id and text only, without carrying the texts on."""
-    vectors = learn_vectors(df)
-    sent = df.sparkSession.sparkContext.broadcast(vectors)
-
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "__pooled": pa.array([pooled(t, sent.value).tobytes() for t in batch.column("text").to_pylist()], pa.binary())})
-
-    features = df.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(pool, "doc_id bigint, __pooled binary")
-    return _scored(keep(features, "pooled"), labels, "doc_id", SAMPLE, THRESHOLD)

@@ -23,7 +23,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, sheltered
 from .trigrams import trigram_query, vocabulary
 
 
@@ -123,7 +123,7 @@ def written(spans: str) -> Column:
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """df with every span replaced by a mark; overlapping spans by one. A text without spans, null too, stays as it is."""
-    columns = df.columns
+    df, restore = sheltered(df, key, text)
     found = with_spans(df, key, text)
     none = F.array().cast("array<struct<start:int,end:int>>")
 
@@ -138,7 +138,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
     start = lambda i: F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["end"])
     pieces = F.transform(F.sequence(F.lit(0), F.size(merged)), lambda i: F.substring(F.col(text), start(i) + 1, F.coalesce(F.get(merged, i)["start"], F.length(text)) - start(i)))
     cleaned = F.when(F.size(merged) > 0, F.array_join(pieces, mark)).otherwise(F.col(text))
-    return found.withColumn(text, cleaned).select(*columns)
+    return restore(found.withColumn(text, cleaned))
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
