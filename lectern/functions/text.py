@@ -8,23 +8,24 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What Python counts as white space, for Java regular expressions.
 WHITE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     """Full Unicode case folding; the JVM's lower() differs for some letters."""
     return s.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd_letters(s: pd.Series) -> pd.Series:
     """The letters left after canonical decomposition, lower-cased."""
     return s.map(lambda t: "".join(c for c in unicodedata.normalize("NFD", t).casefold() if c.isalpha()), na_action="ignore")
