@@ -33,10 +33,12 @@ def either_case(word: str) -> str:
 
 KEYWORDS = "|".join(map(either_case, ("password", "passwd", "secret", "token"))) + f"|{either_case('api')}_?{either_case('key')}"
 #: Fixed values: (kind, expression, group whose length counts, least length, part of the contract).
+#: Of the contract's unbounded runs only those long enough are matched here; shorter ones
+#: would be dropped, and a run's rest cannot hold a longer match.
 RULES = (
     ("assign", rf"({KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20, True),
-    ("hex", r"[0-9a-f]+", 0, 24, True),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, True),
+    ("hex", r"[0-9a-f]{24,}", 0, 24, True),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, False),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, False),
@@ -73,10 +75,17 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums, in blocks, so that many matches in one text cost little more than few."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda k: _sum(F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK))))
-    before = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda k: _sum(F.slice(blocks, F.lit(1), k)))
+def _blocks(lengths: Column) -> Column:
+    """Sums of blocks, so that running sums of many matches in one text cost little more than of few."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda k: _sum(F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _before(blocks: Column) -> Column:
+    return F.transform(blocks, lambda _, k: _sum(F.slice(blocks, F.lit(1), k)))
+
+
+def _ends(lengths: Column, before: Column) -> Column:
+    """Running sums of lengths."""
     place = lambda i: F.floor(i / BLOCK).cast("int")
     return F.transform(lengths, lambda _, i: F.get(before, place(i)) + _sum(F.slice(lengths, place(i) * BLOCK + 1, i % BLOCK + 1)))
 
@@ -96,15 +105,17 @@ def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     raw = {}
     for kind, regex, group, least, _ in RULES:
         go = F.col(f"may_{kind}") if QUERIES[kind] is not None else F.lit(True)
-        # What a match is longer than, so that texts without one are left at once.
-        go = go & body.rlike(regex if regex[-1] != "+" or group else f"{regex[:-1]}{{{least - (4 if kind == 'access' else 0)},}}")
+        go = go & body.rlike(regex)  # most texts are left here
         matches = F.regexp_extract_all(body, F.lit(regex), F.lit(0))
         counted = matches if not group else F.regexp_extract_all(body, F.lit(regex), F.lit(group))
         raw[kind] = F.when(go, F.struct(F.transform(F.split(body, regex), F.length).alias("between"), F.transform(matches, F.length).alias("matched"), F.transform(counted, F.length).alias("counted")))
     df = df.withColumns({f"__{k}": c for k, c in raw.items()})
     both = {kind: F.flatten(F.transform(F.arrays_zip(F.slice(F.col(f"__{kind}.between"), F.lit(1), F.size(f"__{kind}.matched")).alias("b"), F.col(f"__{kind}.matched").alias("m")), lambda x: F.array(x["b"], x["m"]))) for kind in raw}
     df = df.withColumns({f"__l_{k}": c for k, c in both.items()})
-    df = df.withColumns({f"__e_{k}": F.when(F.col(f"__l_{k}").isNotNull(), _ends(F.col(f"__l_{k}"))) for k in raw})
+    # Columns of their own: inside a lambda they would be computed for each element.
+    df = df.withColumns({f"__s_{k}": _blocks(F.col(f"__l_{k}")) for k in raw})
+    df = df.withColumns({f"__b_{k}": _before(F.col(f"__s_{k}")) for k in raw})
+    df = df.withColumns({f"__e_{k}": _ends(F.col(f"__l_{k}"), F.col(f"__b_{k}")) for k in raw})
     spans = {}
     for n, (kind, _, _, least, _) in enumerate(RULES):
         one = F.transform(F.col(f"__{kind}.counted"), _span(F.col(f"__e_{kind}"), n, least))
@@ -112,7 +123,7 @@ def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     base = F.sort_array(F.concat(*(spans[k] for k, *_, own in RULES if own)))
     every = F.sort_array(F.concat(*spans.values()))
     df = df.withColumns({"base_spans": base, "all_spans": every})
-    return df.drop("__key", *found.columns, *(f"{p}{k}" for k in raw for p in ("__", "__l_", "__e_")))
+    return df.drop("__key", *found.columns, *(f"{p}{k}" for k in raw for p in ("__", "__l_", "__s_", "__b_", "__e_")))
 
 
 def written(spans: str) -> Column:
