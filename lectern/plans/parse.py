@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import INTERVENTION_KEYS, LAYOUT, TRACK, VERSE, WRAPPERS, value_key
 from ..sources.markup import tag_events
+from ..tables import written
 
 REC = "source_record_id"
 GROUPS = ("orig_group", "norm_group", "orig", "norm")
@@ -218,13 +219,15 @@ def _violations(events: DataFrame, e: DataFrame, m: DataFrame, words: DataFrame,
 
 
 def parse_events(records: DataFrame, events: DataFrame) -> Corpus:
-    e = positioned(events)
-    words = _with_heads(_words(e))
-    m = matched(e)
+    # Every table below starts from these, which are computed once.
+    e = written(positioned(events), "events")
+    m = written(matched(e), "spans")
+    words = _with_heads(written(_words(e), "bare-words"))
     spans = _spans(m)
-    entities, translations = _entities(spans, words), _translations(spans)
     starts = Window.partitionBy(REC).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = words.withColumn("sentence", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(starts).cast("int"))
+    words = written(words, "words")
+    entities, translations = written(_entities(spans, words), "entities"), _translations(spans)
     sentences = words.where("sentence > 0").groupBy(REC, F.col("sentence").alias("ordinal")).agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
     meta = events.where("seq = 0 AND name = 'meta' AND NOT closing").select(REC, F.col("attrs").alias("metadata"), F.col("repeated").alias("metadata_duplicates"))
     documents = records.join(meta, REC, "left").withColumn("scholarly_id", F.nullif(F.trim(F.element_at("metadata", "document_cts_urn")), F.lit("")))
