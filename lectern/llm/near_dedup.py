@@ -42,7 +42,7 @@ WORDS, PERCENT = 5, 80
 K, LOW, LOW_NEED = 256, 16, 3
 SIGMAS = 6.5
 #: Pairs of different components that are paired without drawing another hub first: so many for each listed value.
-PAIRS_PER_ENTRY, MOST_ROUNDS = 4, 6
+PAIRS_PER_ENTRY, MOST_ROUNDS = 50, 4
 
 
 def shingles(hasher: Hasher, text: str | None, words: int) -> np.ndarray:
@@ -180,7 +180,12 @@ def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
     size, need = F.least(F.col("n"), F.lit(k)).cast("int"), _least_overlap(F.col("n"), percent, k)
     shared = shared.withColumns({"u": size - F.size("v"), "need": need, "weight": F.aggregate("v", F.lit(0).cast("bigint"), lambda x, y: x + y["df"])}).where(F.size("v") >= F.col("need"))
     listed = shared.select("node", "n", "u", "weight", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(0), size - F.col("need") + 1 - F.col("u")))).alias("v"))
-    return keep(listed.select(F.col("v.value").alias("value"), "node", "n", "u", "weight"), "lists")
+    listed = keep(listed.select(F.col("v.value").alias("value"), "node", "n", "u", "weight"), "listed")
+    # The values that nothing else has bound the size of what a class can be similar to;
+    # where a list holds nothing that small, the class leaves it, as edited copies do that share only their original.
+    most = F.when(F.col("n") <= k, F.floor((100 + percent) * (F.col("n") - F.col("u")) / percent) - F.col("n")).otherwise(F.lit(1 << 62))
+    smallest = keep(listed.groupBy("value").agg(F.min("n").alias("lo")), "smallest")
+    return keep(listed.join(smallest, "value").where(most >= F.col("lo")).drop("lo"), "lists")
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -201,7 +206,7 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k
             left, entries = per.agg(F.sum("twice")).collect()[0][0] or 0, now.count()
             if left == 0:
                 break
-            last = turn == MOST_ROUNDS or left / 2 <= max(100_000, PAIRS_PER_ENTRY * entries)
+            last = turn == MOST_ROUNDS or left / 2 <= PAIRS_PER_ENTRY * (entries + 100_000)
         else:
             last = False
         x = now.alias("x")
