@@ -440,5 +440,55 @@ def semi_anti(spark, sf_dir):
     return c.join(o, on, "left_semi").select(F.lit("with").alias("kind"), "c_custkey").union(c.join(o, on, "left_anti").select(F.lit("without").alias("kind"), "c_custkey"))
 
 
+# Records: every benchmark item written as an annotated record, then parsed
+
+_ITEMS_SQL = r"""i AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: regexp_replace(x, '[<>"&]', '', 'g')), lambda x: x <> '') AS w FROM benchmark),
+words AS (SELECT item_id, ordinal, w[ordinal] AS word, ordinal = 1 OR w[ordinal - 1] LIKE '%.' AS starts FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS ordinal FROM i)),
+s AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY ordinal) AS sentence FROM words)"""
+
+
+def item_records(spark, sf_dir) -> DataFrame:
+    """Each word a norm whose head is the word before; a note over the first three of every five words."""
+    w = F.filter(F.transform(F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1)), lambda x: F.regexp_replace(x, '[<>"&]', "")), lambda x: x != "")
+    items = load(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", w.alias("w"))
+
+    def tag(x, i):
+        first = (i == 0) | F.coalesce(F.get("w", i - 1).endswith("."), F.lit(False))
+        head = F.when(i == 0, F.lit('func="root"')).otherwise(F.concat(F.lit('func="dep" head="#u'), i.cast("string"), F.lit('"')))
+        return F.concat(
+            F.when(i % 5 == 0, '<note note="n">').otherwise(""), F.lit('<norm xml:id="u'), (i + 1).cast("string"), F.lit('" '), F.when(first, 'new_sent="true" ').otherwise(""), head, F.lit(' norm="'), F.lower(x), F.lit('">'), x, F.lit("</norm>"),
+            F.when((i % 5 == 2) | ((i % 5 < 2) & (i + 1 == F.size("w"))), "</note>").otherwise(""))
+
+    content = F.concat(F.lit('<meta title="item"><norm_group norm_group="g">'), F.array_join(F.transform("w", tag), "\n"), F.lit("</norm_group>"))
+    return items.select(F.col("item_id").cast("string").alias("source_record_id"), F.encode(content, "utf-8").alias("content"))
+
+
+def _parsed(spark, sf_dir):
+    from .plans.parse import parse_records
+
+    return parse_records(item_records(spark, sf_dir))
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT item_id, ordinal, lower(word) AS norm, word AS source_text, ordinal - 1 AS head_ordinal, CAST(sentence AS BIGINT) AS sentence FROM s")
+def parsed_words(spark, sf_dir):
+    w = _parsed(spark, sf_dir).words
+    return w.select(long("source_record_id").alias("item_id"), long("ordinal").alias("ordinal"), "norm", "source_text", long("head_ordinal").alias("head_ordinal"), long("sentence").alias("sentence"))
+
+
+@query(f"""WITH {_ITEMS_SQL} SELECT item_id, CAST((ordinal - 1) // 5 + 1 AS BIGINT) AS ordinal, min(ordinal) AS first_word, max(ordinal) AS last_word FROM s WHERE (ordinal - 1) % 5 < 3 GROUP BY item_id, (ordinal - 1) // 5""")
+def parsed_annotations(spark, sf_dir):
+    a = _parsed(spark, sf_dir).annotations
+    return a.select(long("source_record_id").alias("item_id"), long("ordinal").alias("ordinal"), long("first_full").alias("first_word"), long("last_full").alias("last_word"))
+
+
+@query(f"""WITH {_ITEMS_SQL}, n AS (SELECT count(*) AS items, sum(n) AS words, sum(n - 1) AS heads, sum(ss) AS sentences, sum((n + 4) // 5) AS notes FROM (SELECT item_id, count(*) AS n, max(sentence) AS ss FROM s GROUP BY item_id))
+SELECT 'document' AS kind, CAST(items AS BIGINT) AS n FROM n UNION ALL SELECT 'norm_group', CAST(items AS BIGINT) FROM n UNION ALL SELECT 'sentence', CAST(sentences AS BIGINT) FROM n UNION ALL SELECT 'note', CAST(notes AS BIGINT) FROM n
+UNION ALL SELECT 'dependency_head', CAST(heads AS BIGINT) FROM n UNION ALL SELECT 'direct_word', CAST(words AS BIGINT) FROM n""")
+def graph_census(spark, sf_dir):
+    from .plans.graph import build_graph
+
+    return build_graph(_parsed(spark, sf_dir)).census().where("what != 'width'").select(F.col("key").alias("kind"), "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_slots(spark, sf_dir)
