@@ -6,6 +6,7 @@ from lectern import cli
 from lectern.operators import probes
 from lectern.plans.parse import REC, IntegrityError, parse_records
 from lectern.sources.markup import tag_events
+from lectern.tables import written
 from tests.test_parse import F1
 from tests.test_references import ruth, verse
 
@@ -13,7 +14,7 @@ from tests.test_references import ruth, verse
 def test_markers(spark):
     zero = ruth("", verse(0, "a", "b", first=True) + verse(1, "c") + verse(4, "d"))
     records = spark.createDataFrame([("z", bytearray(zero.encode())), ("n", bytearray(ruth("", verse(1, "a", first=True) + verse(0, "b")).encode()))], f"{REC} string, content binary")
-    e = tag_events(records).localCheckpoint()
+    e = written(tag_events(records), "events")
     assert {r[REC]: (r["status"], r["n_words"]) for r in probes.verse_zero(e).collect()} == {"z": ("superscription", 2), "n": ("not_first", None)}
     wanted = spark.createDataFrame([("z", 3, 1, 4), ("z", 2, 5, 6), ("z", 9, 1, 2)], f"{REC} string, marker int, previous long, current long")
     assert [(r["marker"], r["status"], r["words_between"]) for r in probes.gap_context(e, wanted).orderBy("marker").collect()] == [(2, "markers_differ", 2), (3, "confirmed", 1), (9, "marker_missing", None)]

@@ -9,6 +9,7 @@ from lectern.plans.parse import REC, parse_records
 from lectern.sources.features import read_feature, read_graph, read_header, write_feature, write_graph
 from lectern.sources.markup import tag_events
 from lectern.streaming.records import stream_records, stream_tag_counts
+from lectern.tables import written
 
 
 def ruth(meta="", body=""):
@@ -39,7 +40,7 @@ def test_cascade(spark):
     verses = spark.createDataFrame([("Ruth", 2, 1, 101), ("Ruth", 2, 7, 107), ("Zech", 2, 7, 207), ("Zech", 2, 3, 203), ("Ps", 17, 1, 301)], "book string, chapter int, verse int, node bigint")
     c = parse_records(records)
     reviewed = spark.createDataFrame([("r7",)], f"{REC} string").join(records, REC).select(REC, F.sha2("content", 256).alias("source_sha256"))
-    r = resolve_runs(c, verses, "ed", reviewed).localCheckpoint()
+    r = written(resolve_runs(c, verses, "ed", reviewed), "resolved")
     got = {(x[REC], x["run"]): (x["status"], x["reason"], x["shared_id"]) for x in r.collect()}
     assert got["r1", 1] == ("reference_candidate", "address_exists", "ed:Ruth:2:1")
     assert got["r1", 2][:2] == ("unresolved", "address_absent") and got["r1", 3][:2] == ("unresolved", "no_number")
@@ -77,7 +78,7 @@ def test_annotations(spark):
 def test_marker_audits_and_sinks(spark, tmp_path):
     text = ruth('license="" title="t"', verse(1, "a", first=True) + verse(2, "b") + verse(5, "c") + verse(5, "d") + verse(3, "e") + verse("x", "f"))
     records = spark.createDataFrame([("c/d:1", bytearray(text.encode()))], f"{REC} string, content binary")
-    e = tag_events(records).localCheckpoint()
+    e = written(tag_events(records), "events")
     assert [x["step"] for x in audits.marker_topology(e).orderBy("seq").collect()] == ["first", "next", "gap", "duplicate", "decreasing", "invalid"]
     assert [x["missing"] for x in audits.verse_gaps(e).orderBy("missing").collect()] == [3, 4]
     c = parse_records(records).strict()
