@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import importlib.util
 import os
 import tempfile
 import uuid
@@ -84,12 +85,11 @@ def tokenizer_path(name: str) -> str:
     The installed ``public_tokenizers`` package knows it; the folder
     /opt/tokenizers, or LECTERN_TOKENIZERS, stands in where it is missing.
     """
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
+    if importlib.util.find_spec("public_tokenizers") is None:
         return os.path.join(os.environ.get("LECTERN_TOKENIZERS", "/opt/tokenizers"), name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 class WordIds(dict):
