@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _folders: dict[str, str] = {}
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -56,7 +57,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()  # so that Spark sees which shuffles nothing refers to any more, and frees their disk
     spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that keep() wrote and that nothing will read any more."""
+    for df in tables:
+        _, path = _paths.pop(id(df), (None, None))
+        if path is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def sheltered(df: DataFrame, *names: str):

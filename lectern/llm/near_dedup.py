@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, sheltered
+from .common import discard, keep, sheltered
 from .graph import components
 from .substring_dedup import Hasher
 
@@ -156,24 +156,28 @@ def _confirm(words: int, percent: int):
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """The links (a, b) among pairs (a, b) of classes."""
+    """The links (a, b) among pairs (a, b) of classes, each once."""
     pairs = keep(pairs, "pairs")
-    sketch = lambda s: rows.select(F.col("row").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    sketch = lambda s: own.select(F.col("row").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     asked = keep(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct(), "asked")
     own = keep(rows.join(asked, "row"), "asked-sketches")
-    rows = own
     both = pairs.join(sketch("b"), "b").join(sketch("a"), "a")
     passed = keep(both.mapInArrow(_estimate(percent, k), "a bigint, b bigint, sure boolean"), "estimated")
-    links, open_pairs = passed.where("sure").select("a", "b"), keep(passed.where("not sure").select("a", "b"), "unsure")
-    if open_pairs.isEmpty():
-        return links
-    asked = keep(open_pairs.select(F.col("a").alias("row")).union(open_pairs.select(F.col("b").alias("row"))).distinct(), "asked")
+    discard(pairs, asked)
+    links, unsure = passed.where("sure").select("a", "b"), keep(passed.where("not sure").select("a", "b"), "unsure")
+    if unsure.isEmpty():
+        discard(own, unsure)
+        return keep(links.distinct(), "links")
+    asked = keep(unsure.select(F.col("a").alias("row")).union(unsure.select(F.col("b").alias("row"))).distinct(), "asked")
     names = own.select("row", "doc_id", "tfp").join(asked, "row").select("row", F.col("doc_id").alias("d"), F.col("tfp").alias("t"))
-    # Rows that repeat a doc_id and its text would give their pairs twice; links are made distinct later.
+    # Rows that repeat a doc_id and its text give their pairs twice; the links are made distinct.
     full = keep(texts.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tfp") == F.col("t"))).select("row", "text"), "texts")
+    discard(own, asked)
     text = lambda s: full.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}"))
-    sure = open_pairs.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(words, percent), "a bigint, b bigint")
-    return links.union(sure)
+    sure = unsure.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(words, percent), "a bigint, b bigint")
+    found = keep(links.union(sure).distinct(), "links")
+    discard(full, unsure, passed)
+    return found
 
 
 def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
@@ -182,8 +186,8 @@ def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
     few = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.greatest(F.lit(0), F.floor(F.col("n") / t) - LOW))
     low = rows.select("row", "n", F.slice("sketch", 1, LOW).alias("low")).join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     low = keep(low.select(F.col("row").alias("node"), "n", F.explode("low").alias("value")), "low")
-    often = keep(low.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "often")
-    going = low.join(often, "value").groupBy("node", "n").agg(F.count("*").alias("c"))
+    seen = keep(low.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "seen")
+    going = low.join(seen, "value").groupBy("node", "n").agg(F.count("*").alias("c"))
     going = keep(going.where(F.col("c") >= F.when(F.col("n") <= LOW, few).otherwise(LOW_NEED)).select("node", "n"), "going")
     values = rows.select(F.col("row").alias("node"), "sketch").join(going, "node").select("node", "n", F.explode("sketch").alias("value"))
     values = keep(values, "values")
@@ -196,7 +200,9 @@ def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
     listed = keep(listed.select(F.col("v.value").alias("value"), "node", "n", "most", "weight"), "listed")
     # Where a list holds nothing small enough, the class leaves it, as edited copies do that share only their original.
     smallest = keep(listed.groupBy("value").agg(F.min("n").alias("lo")), "smallest")
-    return keep(listed.join(smallest, "value").where("most >= lo").drop("lo"), "lists")
+    lists = keep(listed.join(smallest, "value").where("most >= lo").drop("lo"), "lists")
+    discard(low, seen, going, values, often, listed, smallest)
+    return lists
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
@@ -231,7 +237,7 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k
             used = drawn.select("value", "comp")
             hubs = used if hubs is None else keep(hubs.union(used), "used")
             pairs = x.join(drawn.alias("y"), "value").where((F.col("x.node") != F.col("y.node")) & ((F.col("x.comp") != F.col("y.comp"))) & _pairable("x", "y", percent)).select(F.col("x.node").alias("b"), F.col("y.node").alias("a"))
-        found = keep(_verify(pairs.distinct(), rows, texts, words, percent, k).distinct(), "links")
+        found = _verify(pairs.distinct(), rows, texts, words, percent, k)
         links = found if links is None else keep(links.union(found), "links")
         labels = components(links)
         if last:
