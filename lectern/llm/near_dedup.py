@@ -13,7 +13,7 @@
    long as these are many, another hub is drawn first, so that large groups of copies are never
    paired with each other; none is skipped in the end.
 5. Pairs are filtered by the Jaccard similarity of their union's sketch, and
-   confirmed by that of the full sets. For sets up to K values all steps are
+   confirmed by that of the full sets. Between sets up to K values steps 3 to 5 are
    exact; beyond, a link is lost with a probability below 1e-6, and
    only if its similarity is just at the limit.
 6. Components of the confirmed links.
@@ -41,7 +41,7 @@ from .substring_dedup import Hasher
 
 WORDS, PERCENT = 5, 80
 K, LOW, LOW_NEED = 256, 16, 3
-SIGMAS, BOUND_SIGMAS = 6.5, 5.0
+SIGMAS = 6.5
 #: Pairs of different components that are paired without drawing another hub first: so many for each listed value.
 PAIRS_PER_ENTRY, MOST_ROUNDS = 50, 4
 
@@ -90,23 +90,24 @@ def _least_overlap(n: Column, percent: int, k: int) -> Column:
     return F.when(n <= math.floor(k * t), F.ceil(percent * n / 100)).otherwise(F.floor(k * t - SIGMAS * spread)).cast("int")
 
 
-def _largest_partner(percent: int, k: int) -> Column:
-    """The size up to which a set can be similar to the class, given the share of its values that nothing else has.
+def _least_shared(n_a: Column, n_b: Column, percent: int, k: int) -> Column:
+    """How many values the sketches of two similar sets of these sizes share, at least.
 
-    Two similar sets share ``percent / (100 + percent)`` of their sizes' sum. For a sketch that is
-    no full set, the shared fraction is taken at its upper confidence bound.
+    Similar sets share ``percent / (100 + percent)`` of their sizes' sum. Up to k values a
+    sketch is its set. Beyond, the sketch of the larger set reaches the least far up, and of its k values that part
+    is shared which is shared of the whole set; the count is taken at its lower confidence bound.
     """
-    exact = F.floor((100 + percent) * (F.col("n") - F.col("u")) / percent) - F.col("n")
-    f, c = 1 - F.col("u") / k, BOUND_SIGMAS**2 / k
-    most = (2 * f + c + F.sqrt(F.lit(c * c) + 4 * c * f * (1 - f))) / (2 * (1 + c))
-    return F.when(F.col("n") <= k, exact).otherwise(F.floor(most * F.col("n") * (100 + percent) / percent - F.col("n"))).cast("bigint")
+    most = F.greatest(n_a, n_b)
+    part = percent * (n_a + n_b) / ((100 + percent) * most)
+    drawn = k * part - SIGMAS * F.sqrt(k * part * (1 - part) * F.greatest(F.lit(0.0), 1 - k / most))
+    return F.when(most <= k, F.ceil(percent * (n_a + n_b) / (100 + percent))).otherwise(F.floor(drawn))
 
 
-def _pairable(a: str, b: str, percent: int) -> Column:
-    """Whether sizes, and values that nothing else has, allow two listed classes to be similar."""
+def _pairable(a: str, b: str, percent: int, k: int) -> Column:
+    """Whether sizes, and how many of their values others have (shared), allow two listed classes to be similar."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     near = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return near & (n_b <= F.col(f"{a}.most")) & (n_a <= F.col(f"{b}.most"))
+    return near & (F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared")) >= _least_shared(n_a, n_b, percent, k))
 
 
 def _estimate(percent: int, k: int):
@@ -181,7 +182,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, per
 
 
 def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """The inverted lists: (value, node, n, most, weight), each class under the values it must share with any similar one."""
+    """The inverted lists: (value, node, n, shared, weight), each class under the values it must share with any similar one."""
     t = percent / 100
     few = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.greatest(F.lit(0), F.floor(F.col("n") / t) - LOW))
     low = rows.select("row", "n", F.slice("sketch", 1, LOW).alias("low")).join(classes.select(F.col("node").alias("row")), "row", "left_semi")
@@ -196,12 +197,13 @@ def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> Da
     size, need = F.least(F.col("n"), F.lit(k)).cast("int"), _least_overlap(F.col("n"), percent, k)
     shared = shared.withColumns({"u": size - F.size("v"), "need": need, "weight": F.aggregate("v", F.lit(0).cast("bigint"), lambda x, y: x + y["df"])}).where(F.size("v") >= F.col("need"))
     listed = shared.select("node", "n", "u", "weight", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(0), size - F.col("need") + 1 - F.col("u")))).alias("v"))
-    listed = listed.withColumn("most", _largest_partner(percent, k))
-    listed = keep(listed.select(F.col("v.value").alias("value"), "node", "n", "most", "weight"), "listed")
-    # Where a list holds nothing small enough, the class leaves it, as edited copies do that share only their original.
-    smallest = keep(listed.groupBy("value").agg(F.min("n").alias("lo")), "smallest")
-    lists = keep(listed.join(smallest, "value").where("most >= lo").drop("lo"), "lists")
-    discard(low, seen, going, values, often, listed, smallest)
+    listed = keep(listed.select(F.col("v.value").alias("value"), "node", "n", (size - F.col("u")).alias("shared"), "weight"), "listed")
+    # Where a list holds no size that it can be similar to, the class leaves it. The less the smaller or, beyond k, the larger a partner is, the
+    # less must be shared with it; so the least and the greatest size in reach decide.
+    ends = keep(listed.groupBy("value").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "ends")
+    least = F.least(*(_least_shared(F.col("n"), end, percent, k) for end in (F.greatest(F.col("lo"), F.ceil(percent * F.col("n") / 100)), F.least(F.col("hi"), F.floor(100 * F.col("n") / percent)))))
+    lists = keep(listed.join(ends, "value").where(F.col("shared") >= least).drop("lo", "hi"), "lists")
+    discard(low, seen, going, values, often, listed, ends)
     return lists
 
 
@@ -228,15 +230,15 @@ def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k
             last = False
         x = now.alias("x")
         if last:
-            pairs = x.join(now.alias("y"), "value").where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _pairable("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            pairs = x.join(now.alias("y"), "value").where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _pairable("x", "y", percent, k)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         else:
             # A list's hub: of the components without one so far, the member that shares most.
             free = now if hubs is None else now.join(hubs, ["value", "comp"], "left_anti")
-            drawn = free.groupBy("value").agg(F.max(F.struct("weight", F.negative("node").alias("minus"), "n", "most", "comp")).alias("hub"))
-            drawn = keep(drawn.select("value", F.negative("hub.minus").alias("node"), "hub.n", "hub.most", "hub.comp"), "hubs")
+            drawn = free.groupBy("value").agg(F.max(F.struct("weight", F.negative("node").alias("minus"), "n", "shared", "comp")).alias("hub"))
+            drawn = keep(drawn.select("value", F.negative("hub.minus").alias("node"), "hub.n", "hub.shared", "hub.comp"), "hubs")
             used = drawn.select("value", "comp")
             hubs = used if hubs is None else keep(hubs.union(used), "used")
-            pairs = x.join(drawn.alias("y"), "value").where((F.col("x.node") != F.col("y.node")) & ((F.col("x.comp") != F.col("y.comp"))) & _pairable("x", "y", percent)).select(F.col("x.node").alias("b"), F.col("y.node").alias("a"))
+            pairs = x.join(drawn.alias("y"), "value").where((F.col("x.node") != F.col("y.node")) & ((F.col("x.comp") != F.col("y.comp"))) & _pairable("x", "y", percent, k)).select(F.col("x.node").alias("b"), F.col("y.node").alias("a"))
         found = _verify(pairs.distinct(), rows, texts, words, percent, k)
         links = found if links is None else keep(links.union(found), "links")
         labels = components(links)

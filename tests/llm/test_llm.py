@@ -97,6 +97,20 @@ def test_near_duplicates_in_a_large_group_need_no_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_copies_of_other_lengths_match_brute_force(spark, words, percent):
+    r = random.Random(6)
+    rows = []
+    for i, n in enumerate([*range(250, 330, 8), *range(330, 2001, 90)]):
+        whole = prose(r, n).split()
+        cut = n * r.randint(percent - 2, 98) // 100
+        rows += [(1000 + i, " ".join(whole)), (2000 + i, " ".join(whole[:cut]))]  # cut
+        other = prose(r, n).split()
+        rows += [(3000 + i, " ".join(other)), (4000 + i, " ".join([*other, *prose(r, n * r.randint(2, 102 - percent) // 100).split()]))]  # extended
+    got = near_dedup.near_duplicates(documents(spark, rows), words, percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, words, percent)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
