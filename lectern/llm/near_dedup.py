@@ -84,10 +84,14 @@ def _linked(overlap, n_a, n_b, percent: int):
 
 
 def _least_overlap(n: Column, percent: int, k: int) -> Column:
-    """How many of its sketch's values a set of n values shares with the sketch of any set similar to it, at least."""
+    """How many of its sketch's values a set of n values shares with the sketch of any set similar to it, at least.
+
+    A set of up to k values is its own sketch: where the union is no larger than k too, exactly the overlap is shared.
+    """
     t = percent / 100
     spread = F.sqrt(F.lit(k * t * (1 - t)) * F.greatest(F.lit(0.0), 1 - k * t / n))
-    return F.when(n <= math.floor(k * t), F.ceil(percent * n / 100)).otherwise(F.floor(k * t - SIGMAS * spread)).cast("int")
+    overlap, drawn = F.ceil(percent * n / 100), F.floor(k * t - SIGMAS * spread)
+    return F.when(n <= math.floor(k * t), overlap).when(n <= k, F.least(overlap, drawn)).otherwise(drawn).cast("int")
 
 
 def _least_shared(n_a: Column, n_b: Column, percent: int, k: int) -> Column:

@@ -111,6 +111,23 @@ def test_near_copies_of_other_lengths_match_brute_force(spark, words, percent):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_copies_about_as_large_as_a_sketch_match_brute_force(spark, words, percent):
+    rows = []
+    for n in range(200, 261):
+        for few in (True, False):  # one word changed; as many as the limit allows
+            own = [f"{n}{few}{j}" for j in range(n + words - 1)]
+            changes = 1 if few else (100 - percent) * n // ((100 + percent) * words)
+            copy = list(own)
+            for c in range(changes):
+                copy[(c + 1) * len(own) // (changes + 1)] = "changed"
+            rows += [(1000 * (1 + few) + n, " ".join(own)), (1000 * (3 + few) + n, " ".join(copy))]
+    got = near_dedup.near_duplicates(documents(spark, rows), words, percent).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute_components(rows, words, percent)
+    assert sorted(map(tuple, got), key=str) == want
+    assert all(c < 3000 for _, _, c in want)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
