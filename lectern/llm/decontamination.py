@@ -7,13 +7,14 @@ its passage around that place, as long as the item and half as much to either si
 item by words: a match scores 2, a mismatch or a gap -1. The score is the best
 local alignment's, divided by that of the item with itself. A passage that shares too few of
 the item's words to reach the threshold is not aligned, since its score cannot reach it.
-A document is contaminated if an item scores THRESHOLD or more.
+A document is contaminated if an item scores THRESHOLD or more. Items of fewer than MIN_WORDS words, of
+which ordinary prose holds parts by chance, are not aligned: a document that holds all their words in a row scores 1.
 
 Items are taken in blocks of BLOCK_ITEMS, which bounds what is broadcast; each block is
 held against all documents.
 
-Nulls: a null text is empty and clean. Items that are null or have fewer than
-MIN_WORDS words are left out, since ordinary prose holds them by chance. Of items that score alike, the one
+Nulls: a null text is empty and clean. Items that are null or have no
+words are left out. Of items that score alike, the one
 with the smallest item_id is reported. Rows are judged one by one, so repeated rows get the same result. An
 empty documents table gives an empty result, an empty benchmark clean documents. Other columns are passed
 through; columns named like those added here are replaced.
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 N, MIN_WORDS, SEEDS_LEAST, THRESHOLD = 2, 8, 8, 0.4
 BLOCK_ITEMS = 20_000
 EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¡«»¿“”„‘’…–—"
@@ -73,6 +76,14 @@ def grams(ids: np.ndarray, base: int, n: int) -> np.ndarray:
     return out
 
 
+def hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of so many words."""
+    out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    for k in range(size):
+        out = mix(out + ids[k : len(ids) - size + 1 + k].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 class Items:
     """The items of one block, and where each n-gram stands in them."""
 
@@ -80,18 +91,39 @@ class Items:
         self.n, self.known, self.item_ids, self.words = n, {}, [], []
         for item, text in sorted(rows, key=lambda r: r[0]):
             words = split_words(text)
-            if len(words) >= max(n, min_words):
+            if words:
                 self.item_ids.append(item)
                 self.words.append(np.array([self.known.setdefault(w, len(self.known) + 1) for w in words], np.int64))
         self.base = len(self.known) + 1
-        per_item = [grams(w, self.base, n) for w in self.words]
+        self.short: dict[int, dict[int, list[int]]] = {}  # number of words -> their hash -> items
+        for i, w in enumerate(self.words):
+            if len(w) < max(n, min_words):
+                self.short.setdefault(len(w), {}).setdefault(int(hashes(w, len(w))[0]), []).append(i)
+        self.short_hashes = {size: np.array(sorted(own), np.uint64) for size, own in self.short.items()}
+        self.aligned = np.array([len(w) >= max(n, min_words) for w in self.words], bool)
+        per_item = self.grams()
         self.codes = np.unique(np.concatenate(per_item)) if per_item else np.empty(0, np.int64)
         self.choose(None, per_item)
 
+    def grams(self) -> list[np.ndarray]:
+        """The n-grams of each item; none of those that are not aligned."""
+        return [grams(w, self.base, self.n) if a else np.empty(0, np.int64) for w, a in zip(self.words, self.aligned, strict=True)]
+
+    def verbatim(self, ids: np.ndarray) -> int | None:
+        """The first of the items that are not aligned whose words stand in a row."""
+        found = None
+        for size, known in self.short_hashes.items():
+            own = hashes(ids, size)
+            for at in np.flatnonzero(np.isin(own, known)).tolist():
+                for i in self.short[size][int(own[at])]:
+                    if (found is None or i < found) and np.array_equal(self.words[i], ids[at : at + size]):
+                        found = i
+        return found
+
     def choose(self, counts: np.ndarray | None, per_item: list[np.ndarray] | None = None, least: int = SEEDS_LEAST) -> None:
         """Keep the rarer half of each item's n-grams as seeds; all of them while there are no counts."""
         seeds, items, places = [], [], []
-        for i, own in enumerate(per_item or [grams(w, self.base, self.n) for w in self.words]):
+        for i, own in enumerate(per_item or self.grams()):
             at = np.searchsorted(self.codes, own)
             chosen = np.ones(len(own), bool)
             if counts is not None:
@@ -153,6 +185,8 @@ def judge(texts: list[str | None], items: Items, vocabulary: Vocabulary, thresho
 
     for t, text in enumerate(texts):
         ids = vocabulary.ids(text)
+        if items.short and (i := items.verbatim(ids)) is not None and (out[t][1] < 1 or i < out[t][0]):
+            out[t] = (i, 1.0)
         at, which = items.find(grams(ids, items.base, items.n))
         seen = set()
         for place, seed in zip(at.tolist(), which.tolist(), strict=True):

@@ -468,6 +468,18 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_verbatim(spark):
+    r = random.Random(12)
+    short = [(i, " ".join(f"short{i}x{k}" for k in range(i))) for i in range(1, 8)]
+    items = [*short, (20, prose(r, 30)), (21, short[4][1])]
+    rows = [(100 + i, f"{prose(r, 40)} ({t.title()}). {prose(r, 10)}") for i, t in short] + [(201, short[6][1])]
+    clean = [(300 + i, f"{prose(r, 20)} {t.rsplit(' ', 1)[0]} {prose(r, 20)}") for i, t in short[1:]] + [(400, None), (401, "")]
+    bench = spark.createDataFrame([*items, (90, ""), (91, None), (92, "...")], "item_id bigint, text string")
+    for block_items in (decontamination.BLOCK_ITEMS, 3):
+        out = {x["doc_id"]: (x["contaminated"], x["item_id"], x["item_score"]) for x in decontamination.find_leaks(documents(spark, rows + clean), bench, block_items=block_items).collect()}
+        assert out == {**{d: (True, d % 100 if d < 200 else 7, 1.0) for d, _ in rows}, **{d: (False, None, 0.0) for d, _ in clean}}
+
+
 # Pipeline
 
 def test_the_pipeline_keeps_clean_documents_and_acts_on_the_others(spark, tmp_path):
