@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased stretches between blanks without punctuation at their ends. Every
-n-gram of a test item is counted in all documents; the rarer half of an item's
-n-grams (SEEDS_LEAST at least) are its seeds. A document where a seed occurs has
+n-gram of a test item is counted in all documents; an item's seeds are all but so many of its commonest
+n-grams (SEEDS_LEAST at least stay) that a copy which reaches the threshold by replaced or deleted words always holds one;
+words put in between so many of its words that hardly any neighbours are left can still hide a copy. A document where a seed occurs has
 its passage around that place, as long as the item and half as much to either side, aligned with the
 item by words: a match scores 2, a mismatch or a gap -1. The score is the best
 local alignment's, divided by that of the item with itself. A passage that shares too few of
@@ -22,7 +23,6 @@ through; columns named like those added here are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +84,12 @@ def hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _ranges(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first[w] to first[w + 1] - 1 for each w in a row, and how many they are for each."""
+    each = first[which + 1] - first[which]
+    return np.arange(each.sum()) + np.repeat(first[which] - np.cumsum(each) + each, each), each
+
+
 class Items:
     """The items of one block, and where each n-gram stands in them."""
 
@@ -101,6 +107,12 @@ class Items:
                 self.short.setdefault(len(w), {}).setdefault(int(hashes(w, len(w))[0]), []).append(i)
         self.short_hashes = {size: np.array(sorted(own), np.uint64) for size, own in self.short.items()}
         self.aligned = np.array([len(w) >= max(n, min_words) for w in self.words], bool)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.different = [np.unique(w, return_counts=True) for w in self.words]
+        # Under each word the items that hold it, and how often.
+        pairs, self.uses = np.unique(np.concatenate(self.words) * len(self.words) + np.repeat(np.arange(len(self.words)), self.sizes) if self.words else np.empty(0, np.int64), return_counts=True)
+        word, self.use_items = np.divmod(pairs, max(1, len(self.words)))
+        self.first_use = np.searchsorted(word, np.arange(self.base + 1))
         per_item = self.grams()
         self.codes = np.unique(np.concatenate(per_item)) if per_item else np.empty(0, np.int64)
         self.choose(None, per_item)
@@ -120,16 +132,22 @@ class Items:
                         found = i
         return found
 
-    def choose(self, counts: np.ndarray | None, per_item: list[np.ndarray] | None = None, least: int = SEEDS_LEAST) -> None:
-        """Keep the rarer half of each item's n-grams as seeds; all of them while there are no counts."""
+    def choose(self, counts: np.ndarray | None, per_item: list[np.ndarray] | None = None, least: int = SEEDS_LEAST, threshold: float = THRESHOLD) -> None:
+        """Keep as seeds all but the commonest n-grams of each item that a copy can lack; all of them while there are no counts.
+
+        A copy with m words left and e replaced or deleted scores (2 m - e) / 2 n, and e errors leave at least m - e - 1 pairs of
+        neighbours. At the threshold that is (4 threshold - 1) n / 3 - 1 or more, so that with fewer of them left out a seed remains.
+        """
         seeds, items, places = [], [], []
         for i, own in enumerate(per_item or self.grams()):
             at = np.searchsorted(self.codes, own)
             chosen = np.ones(len(own), bool)
             if counts is not None:
-                different = np.unique(at)
-                order = different[np.argsort(counts[different], kind="stable")]
-                chosen = np.isin(at, order[: max(least, (len(order) + 1) // 2)])
+                different, times = np.unique(at, return_counts=True)
+                rank = np.argsort(counts[different], kind="stable")
+                order, spare = different[rank], np.ceil((4 * threshold - 1) * self.sizes[i] / 3 - 1 - 1e-9) - 1 if self.n == 2 else 0
+                left_out = np.count_nonzero(np.cumsum(times[rank][::-1]) <= spare)
+                chosen = np.isin(at, order[: max(least, len(order) - left_out)])
             seeds.append(own[chosen])
             items.append(np.full(chosen.sum(), i))
             places.append(np.flatnonzero(chosen))
@@ -142,6 +160,18 @@ class Items:
         self.quick = np.zeros(1 << 20, bool)
         self.quick[self.seeds & 0xFFFFF] = True
 
+    def held(self, ids: np.ndarray) -> np.ndarray:
+        """How many of each item's words, repeats counted, a text holds at all."""
+        words, n = np.unique(ids[ids > 0], return_counts=True)
+        k, each = _ranges(self.first_use, words)
+        return np.bincount(self.use_items[k], np.minimum(self.uses[k], np.repeat(n, each)), len(self.words))
+
+    def spread(self, at: np.ndarray, which: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items wanted, position in the text and place in the item of all seeds found."""
+        k, each = _ranges(self.first, which)
+        good = wanted[self.seed_items[k]]
+        return self.seed_items[k][good], np.repeat(at, each)[good], self.seed_places[k][good]
+
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions where a seed stands, and which."""
         at = np.flatnonzero(self.quick[codes & 0xFFFFF] & (codes >= 0))
@@ -183,25 +213,39 @@ def judge(texts: list[str | None], items: Items, vocabulary: Vocabulary, thresho
                 out[t] = (i, s)
         todo.clear()
 
+    mark = np.zeros(items.base, np.int64)
     for t, text in enumerate(texts):
         ids = vocabulary.ids(text)
         if items.short and (i := items.verbatim(ids)) is not None and (out[t][1] < 1 or i < out[t][0]):
             out[t] = (i, 1.0)
         at, which = items.find(grams(ids, items.base, items.n))
-        seen = set()
-        for place, seed in zip(at.tolist(), which.tolist(), strict=True):
-            for k in range(items.first[seed], items.first[seed + 1]):
-                i, q = int(items.seed_items[k]), int(items.seed_places[k])
-                size = len(items.words[i])
-                slack = max(4, size // 2)
-                start = (place - q) // slack * slack  # passages that start in the same stretch are one
-                if (i, start) in seen:
+        if len(at):
+            i, place, q = items.spread(at, which, items.held(ids) >= threshold * items.sizes)
+            slack = np.maximum(4, items.sizes[i] // 2)
+            start = (place - q) // slack * slack  # passages that start in the same stretch are one
+            zero = 2 * int(items.sizes.max())
+            i, start = np.divmod(np.unique(i * (zero + len(ids)) + start + zero), zero + len(ids))
+            start -= zero
+            ends = [0, *(np.flatnonzero(np.diff(i, append=-1)) + 1).tolist()]
+            for low, high in zip(ends, ends[1:], strict=False):
+                item = int(i[low])
+                size, slack = len(items.words[item]), max(4, len(items.words[item]) // 2)
+                a, b = np.maximum(0, start[low:high] - slack), np.clip(start[low:high] + size + 2 * slack, 0, len(ids))
+                words, most = items.different[item]
+                mark[words] = np.arange(1, len(words) + 1)
+                own = mark[ids]
+                mark[words] = 0
+                held = np.flatnonzero(own)
+                first, last = np.searchsorted(held, a), np.searchsorted(held, b)
+                good = last - first >= threshold * size
+                if not good.any():
                     continue
-                seen.add((i, start))
-                passage = ids[max(0, start - slack) : start + size + 2 * slack]
-                left = Counter(items.words[i].tolist()) & Counter(passage.tolist())
-                if sum(left.values()) >= threshold * size:
-                    todo.append((t, i, passage))
+                a, b, first, last = a[good], b[good], first[good], last[good]
+                before = np.zeros((len(held) + 1, len(words)), np.int32)
+                before[np.arange(1, len(held) + 1), own[held] - 1] = 1
+                before = np.cumsum(before, axis=0, dtype=np.int32)
+                both = np.minimum(before[last] - before[first], most).sum(1)
+                todo += [(t, item, ids[a[k] : b[k]]) for k in np.flatnonzero(both >= threshold * size).tolist()]
         if len(todo) >= 512:
             work()
     work()
@@ -238,7 +282,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", threshol
         rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()]
         own = Items(rows)
         if len(own.item_ids):
-            own.choose(_counts(df, text, own))
+            own.choose(_counts(df, text, own), threshold=threshold)
             out = _with_block(out, own, text, threshold)
     return out.withColumn("contaminated", F.col("item_id").isNotNull())
 

@@ -468,6 +468,29 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_copies_without_their_rare_words_keep_a_seed():
+    r = random.Random(13)
+    words = [f"c{i}" for i in range(30)] + [f"r{i}" for i in range(3000)]
+    weights = [60] * 30 + [1] * 3000
+    texts = [" ".join(r.choices(words, weights, k=r.randint(15, 60))) for _ in range(150)]
+    items = decontamination.Items(list(enumerate(texts)))
+    vocabulary = decontamination.Vocabulary(items.known)
+    common = np.array([1] + [60 if w[0] == "c" else 1 for w in items.known])
+    items.choose(common[items.codes // items.base] * common[items.codes % items.base])
+    reached = 0
+    for share in (0.2, 0.3, 0.35, 0.4):
+        for i, text in enumerate(texts):
+            own = text.split()
+            rare = sorted(range(len(own)), key=lambda k: (own[k][0] == "c", r.random()))[: int(share * len(own))]
+            copy = [("" if share == 0.3 else "other") if k in rare else w for k, w in enumerate(own)]
+            score = float(decontamination.align([items.words[i]], [vocabulary.ids(" ".join(copy))])[0])
+            if score >= decontamination.THRESHOLD:
+                reached += 1
+                found = decontamination.judge([" ".join(["before"] * 20 + copy + ["after"] * 20)], items, vocabulary)[0]
+                assert found[1] >= score - 1e-9
+    assert reached > 400
+
+
 def test_short_items_are_found_verbatim(spark):
     r = random.Random(12)
     short = [(i, " ".join(f"short{i}x{k}" for k in range(i))) for i in range(1, 8)]
