@@ -274,6 +274,26 @@ def fingerprint(spark, sf_dir):
     return load(spark, sf_dir, "nation").agg(A.fingerprint(None, ["n_nationkey", "n_name", "n_regionkey"]).alias("nation"), F.count("*").alias("n"))
 
 
+_DIGESTED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+}
+
+
+def _digest_sql(name: str, columns: list[str]) -> str:
+    row = " || chr(31) || ".join(f"coalesce({c}::VARCHAR, chr(30))" for c in columns)
+    sums = " || '-' || ".join(f"coalesce(sum(('0x' || substr(r, {at}, 15))::BIGINT), 0)::VARCHAR" for at in (1, 16))
+    return f"SELECT '{name}' AS name, count(*)::VARCHAR || '-' || {sums} AS digest FROM (SELECT sha256({row}) AS r FROM {name})"
+
+
+@query(" UNION ALL ".join(_digest_sql(n, c) for n, c in _DIGESTED.items()))
+def table_digests(spark, sf_dir):
+    """Order-free digests of fixed size, of small tables and a large one."""
+    parts = [load(spark, sf_dir, n).agg(A.order_free_digest(c).alias("digest")).select(F.lit(n).alias("name"), "digest") for n, c in _DIGESTED.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # Rules and references
 
 CROSSWALK = [("F", 1, 1000, 5), ("O", 500, 2500, -100), ("F", 3000, 9000, 7)]
