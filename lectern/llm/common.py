@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import importlib.util
 import os
+import re
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import mix  # noqa: F401 (used by the operators)
+
 #: A word, as the contracts give it, for Java regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,13 +25,15 @@ _paths: dict[int, tuple[DataFrame, str]] = {}
 def work_folder(spark: SparkSession) -> str:
     """This application's folder for intermediate tables.
 
-    It lies in ``spark.checkpoint.dir``, which all executors share. Where that
-    is unset (tests, one machine) a temporary folder takes its place.
+    It lies in ``spark.checkpoint.dir``, which all executors share. Only on a local master,
+    where the driver is the one executor, may that be unset: a temporary folder takes its place.
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is unset: the executors share no folder for intermediate tables")
             base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         _folders[app] = f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _folders[app])
@@ -45,18 +48,24 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+#: Spark's own setting: what an execution has shuffled goes when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df once in the shared folder and return the written table.
 
     This cuts the lineage: what follows neither computes df again nor depends
-    on an executor that may be lost.
+    on an executor that may be lost. What was shuffled for it is deleted.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    del df
-    gc.collect()  # so that Spark sees which shuffles nothing refers to any more, and frees their disk
-    spark._jvm.System.gc()
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(schema).parquet(path)
     _paths[id(out)] = (out, path)
     return out
@@ -102,47 +111,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-class WordIds(dict):
-    """word (bytes) -> small integer, with a 64-bit hash for each word.
-
-    Ids are exact within one object; hashes are the same on every machine.
-    """
-
-    def __init__(self):
-        super().__init__()
-        self._hashes: list[int] = []
-        self._array = np.empty(0, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        i = self[word] = len(self._hashes)
-        self._hashes.append(xxhash.xxh3_64_intdigest(word))
-        return i
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def hashes(self) -> np.ndarray:
-        if len(self._array) < len(self._hashes):
-            fresh = np.array(self._hashes[len(self._array):], np.uint64)
-            self._array = np.concatenate([self._array, fresh])
-        return self._array
-
-    def trim(self, most: int = 300_000) -> None:
-        """Forget everything once there are more than ``most`` words (between documents only)."""
-        if len(self._hashes) > most:
-            self.clear()
-            self._hashes.clear()
-            self._array = np.empty(0, np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective finalizer of 64-bit values."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))

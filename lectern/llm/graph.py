@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,18 +24,19 @@ def components(edges: DataFrame) -> DataFrame:
         point = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), "pointers")
         while True:
             after = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            point = keep(point.join(after, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
-            moved = not point.where("moved").isEmpty()
-            point = point.drop("moved")
-            if not moved:
+            old, point = point, keep(point.drop("moved").join(after, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
+            discard(old)
+            if point.where("moved").isEmpty():
                 break
         if labels is None:
-            labels = point.withColumnRenamed("to", "component")
+            labels = keep(point.select("node", F.col("to").alias("component")), "labels")
         else:
             onward = point.select(F.col("node").alias("component"), F.col("to").alias("next"))
-            labels = keep(labels.join(onward, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+            old, labels = labels, keep(labels.join(onward, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+            discard(old)
         ends = point.select(F.col("node").alias("a"), F.col("to").alias("c"))
-        edges = edges.join(ends, "a").select(F.col("c").alias("x"), "b")
-        edges = edges.join(ends.select(F.col("a").alias("b"), F.col("c").alias("y")), "b").where("x != y")
-        edges = keep(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        left = edges.join(ends, "a").select(F.col("c").alias("x"), "b")
+        left = left.join(ends.select(F.col("a").alias("b"), F.col("c").alias("y")), "b").where("x != y")
+        old, edges = edges, keep(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(old, point)
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

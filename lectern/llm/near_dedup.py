@@ -2,22 +2,27 @@
 
 1. Every whole text becomes its set of word shingles (64-bit hashes). Texts with
    equal sets form a class, stood for by the row with the least doc_id. A class's
-   sketch is the K least values of its set; a set of up to K values is its own sketch.
-2. A class goes on only if enough of its LOW least values are in another class's too.
-3. Inverted lists of the retained values: each class is listed under its rarest
-   values only, as many as a class similar to it cannot miss altogether (prefix
-   filter). Values that many texts share come last and so are seldom listed.
+   sketch is the least values of its set; a set of up to k values is its own sketch.
+2. Inverted lists of the SCREEN least values tell how many of them another class
+   retains, too. A class with fewer than any similar pair shares is linked with nothing.
+3. The others get sketches of K values, and inverted lists of these: each
+   class is listed under its rarest values only, as many as a class similar to it cannot
+   miss altogether (prefix filter), with its reach: how many of its values come
+   from there on, in order of rarity. A pair overlaps at most by the lesser reach under the first value that it shares.
 4. Overlaps: within each list the class that shares most stands as hub, and every other
-   member is paired with it. Once the links found so have been joined to
-   components, only pairs of members from different components are left to pair. As
+   member within reach is paired with it. Once the links found so have been joined to
+   components, a class leaves the lists where no other component holds a size that it can
+   reach, and only members of different components are left to pair. As
    long as these are many, another hub is drawn first, so that large groups of copies are never
    paired with each other; none is skipped in the end.
 5. Pairs are filtered by the Jaccard similarity of their union's sketch, and
-   confirmed by that of the full sets. Between sets up to K values steps 3 to 5 are
-   exact; beyond, a link is lost with a probability below 1e-6, and
-   only if its similarity is just at the limit.
+   confirmed by that of the full sets.
 6. Components of the confirmed links.
 
+Between sets up to SCREEN values all bounds are exact. Beyond, the number of sketch values
+that a similar pair shares is bounded at SIGMAS standard deviations: a link is lost with a
+probability below 1e-6, and only if its similarity is just at the limit.
+
 Nulls: a null text is empty. A text without words has no shingles and is linked with
 nothing; one with fewer words than a shingle has its whole sequence as only shingle. A null
 doc_id is never the least of its class unless all are null. Repeated rows, also of one doc_id,
@@ -37,40 +42,64 @@ from pyspark.sql import functions as F
 
 from .common import discard, keep, sheltered
 from .graph import components
-from .substring_dedup import Hasher
+from .hashing import Hasher, parts
 
 WORDS, PERCENT = 5, 80
-K, LOW, LOW_NEED = 256, 16, 3
-SIGMAS = 6.5
+SCREEN, K, UNION = 64, 1024, 256
+SIGMAS = 6.0
 #: Pairs of different components that are paired without drawing another hub first: so many for each listed value.
-PAIRS_PER_ENTRY, MOST_ROUNDS = 50, 4
-
-
-def shingles(hasher: Hasher, text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct shingles of a whole text, as signed 64-bit hashes."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not own:
-        return np.empty(0, np.int64)
-    hasher.load(own)
-    size = min(words, len(own))
-    return np.unique(hasher.every(size) + np.uint64(size)).view(np.int64) if size == words else (hasher.every(size) + np.uint64(size)).view(np.int64)
+PAIRS_PER_ENTRY, MOST_ROUNDS = 10, 4
+#: Names of texts are broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
+BROADCAST_ROWS = 500_000
+
+
+def shingle_sets(hasher: Hasher, texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each whole text, as signed 64-bit hashes."""
+    for low, high, found in parts(texts):
+        hasher.load(found)
+        starts = np.arange(max(0, len(found) - words + 1))
+        every = hasher.of(starts, starts + words).view(np.int64)
+        first = found.first.tolist()
+        for i in range(high - low):
+            a, b = first[i], first[i + 1]
+            if b - a >= words:
+                own = np.sort(every[a: b - words + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif b > a:
+                yield hasher.of(np.array([a]), np.array([b])).view(np.int64)
+            else:
+                yield np.empty(0, np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)])))
 
 
 def _sketch_rows(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(lower=True)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 sizes, prints, sketches = [], [], []
-                for text in part.column("text").to_pylist():
-                    s = np.sort(shingles(hasher, text, words))
+                for s in shingle_sets(hasher, part.column("text"), words):
                     sizes.append(len(s))
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sketches.append(s[:k])
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
-                flat = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "tfp": part.column("tfp"), "n": pa.array(sizes, pa.int64()), "fp": pa.array(prints, pa.binary()), "sketch": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
+                    sketches.append(s[:k].copy())
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "tfp": part.column("tfp"), "n": pa.array(sizes, pa.int64()), "fp": pa.array(prints, pa.binary()), "sketch": _lists(sketches)})
+
+    return run
+
+
+def _full_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(lower=True)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                sets = list(shingle_sets(hasher, part.column("text"), words))
+                yield pa.record_batch({"node": part.column("node"), "n": pa.array([len(s) for s in sets], pa.int64()), "values": _lists(sets)})
 
     return run
 
@@ -108,10 +137,21 @@ def _least_shared(n_a: Column, n_b: Column, percent: int, k: int) -> Column:
 
 
 def _pairable(a: str, b: str, percent: int, k: int) -> Column:
-    """Whether sizes, and how many of their values others have (shared), allow two listed classes to be similar."""
+    """Whether sizes, and how far the two reach under a value, allow two listed classes to be similar."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     near = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return near & (F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared")) >= _least_shared(n_a, n_b, percent, k))
+    return near & (F.least(F.col(f"{a}.reach"), F.col(f"{b}.reach")) >= _least_shared(n_a, n_b, percent, k))
+
+
+def _in_reach(lo: Column, hi: Column, percent: int, k: int) -> Column:
+    """Whether a listed class can be similar to some size from lo to hi.
+
+    The less the smaller or, beyond k, the larger a partner is, the
+    less must be shared with it; so the least and the greatest size that are near enough decide.
+    """
+    n = F.col("n")
+    lo, hi = F.greatest(lo, F.ceil(percent * n / 100)), F.least(hi, F.floor(100 * n / percent))
+    return (lo <= hi) & (F.col("reach") >= F.least(_least_shared(n, lo, percent, k), _least_shared(n, hi, percent, k)))
 
 
 def _estimate(percent: int, k: int):
@@ -140,121 +180,150 @@ def _estimate(percent: int, k: int):
     return run
 
 
-def _confirm(words: int, percent: int):
+def _confirm(percent: int):
     """Keeps the pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last = Hasher(), (None, None)
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if last[0] != a:
-                    last = (a, shingles(hasher, x, words))
-                other = shingles(hasher, y, words)
-                common = len(np.intersect1d(last[1], other, assume_unique=True))
-                if _linked(common, len(last[1]), len(other), percent):
-                    out.append((a, b))
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            left, right, out = batch.column("values_a"), batch.column("values_b"), []
+            for i in range(batch.num_rows):
+                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+                if _linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                    out.append((a[i], b[i]))
             p, q = zip(*out, strict=True) if out else ((), ())
             yield pa.record_batch({"a": pa.array(p, pa.int64()), "b": pa.array(q, pa.int64())})
 
     return run
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among pairs (a, b) of classes, each once."""
     pairs = keep(pairs, "pairs")
-    sketch = lambda s: own.select(F.col("row").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    asked = keep(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct(), "asked")
-    own = keep(rows.join(asked, "row"), "asked-sketches")
-    both = pairs.join(sketch("b"), "b").join(sketch("a"), "a")
-    passed = keep(both.mapInArrow(_estimate(percent, k), "a bigint, b bigint, sure boolean"), "estimated")
-    discard(pairs, asked)
-    links, unsure = passed.where("sure").select("a", "b"), keep(passed.where("not sure").select("a", "b"), "unsure")
-    if unsure.isEmpty():
-        discard(own, unsure)
-        return keep(links.distinct(), "links")
-    asked = keep(unsure.select(F.col("a").alias("row")).union(unsure.select(F.col("b").alias("row"))).distinct(), "asked")
-    names = own.select("row", "doc_id", "tfp").join(asked, "row").select("row", F.col("doc_id").alias("d"), F.col("tfp").alias("t"))
-    # Rows that repeat a doc_id and its text give their pairs twice; the links are made distinct.
-    full = keep(texts.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tfp") == F.col("t"))).select("row", "text"), "texts")
-    discard(own, asked)
-    text = lambda s: full.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}"))
-    sure = unsure.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(words, percent), "a bigint, b bigint")
-    found = keep(links.union(sure).distinct(), "links")
-    discard(full, unsure, passed)
+    ends = lambda of: of.select(F.col("a").alias("node")).union(of.select(F.col("b").alias("node"))).distinct()
+    sketch = lambda s: own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    own = keep(full.select("node", "n", F.slice("values", 1, UNION).alias("sketch")).join(ends(pairs), "node"), "asked-sketches")
+    passed = keep(pairs.join(sketch("b"), "b").join(sketch("a"), "a").mapInArrow(_estimate(percent, UNION), "a bigint, b bigint, sure boolean"), "estimated")
+    discard(pairs, own)
+    unsure = passed.where("not sure").select("a", "b")
+    whole = keep(full.join(ends(unsure), "node"), "asked-sets")
+    values = lambda s: whole.select(F.col("node").alias(s), F.col("values").alias(f"values_{s}"))
+    confirmed = unsure.join(values("b"), "b").join(values("a"), "a").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    found = keep(passed.where("sure").select("a", "b").union(confirmed), "links")
+    discard(passed, whole)
     return found
 
 
-def _candidates(rows: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """The inverted lists: (value, node, n, shared, weight), each class under the values it must share with any similar one."""
-    t = percent / 100
-    few = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.greatest(F.lit(0), F.floor(F.col("n") / t) - LOW))
-    low = rows.select("row", "n", F.slice("sketch", 1, LOW).alias("low")).join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    low = keep(low.select(F.col("row").alias("node"), "n", F.explode("low").alias("value")), "low")
-    seen = keep(low.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "seen")
-    going = low.join(seen, "value").groupBy("node", "n").agg(F.count("*").alias("c"))
-    going = keep(going.where(F.col("c") >= F.when(F.col("n") <= LOW, few).otherwise(LOW_NEED)).select("node", "n"), "going")
-    values = rows.select(F.col("row").alias("node"), "sketch").join(going, "node").select("node", "n", F.explode("sketch").alias("value"))
-    values = keep(values, "values")
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, node, rep, tfp, n, sketch) of every class: the row with the least doc_id stands for it."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "tfp", "n", "sketch")).alias("first")
+    return rows.where("fp is not null").groupBy("fp").agg(first).select("fp", F.col("first.row").alias("node"), F.col("first.doc_id").alias("rep"), "first.tfp", "first.n", "first.sketch")
+
+
+def _screened(classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """The classes that share as many retained values with others as any similar pair does: (node, rep, tfp)."""
+    low = classes.select("node", "n", F.explode("sketch").alias("value"))
+    often = keep(low.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value"), "often")
+    shared = low.join(often, "value").groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= _least_overlap(F.col("n"), percent, k))
+    out = keep(classes.select("node", "rep", "tfp").join(shared.select("node"), "node"), "screened")
+    discard(often)
+    return out
+
+
+def _full_sets(texts: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(node, n, values): the full sets of the classes that named lists."""
+    count = named.count()
+    named = named.select("node", F.col("rep").alias("d"), F.col("tfp").alias("t"))
+    found = texts.join(F.broadcast(named) if count <= BROADCAST_ROWS else named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tfp") == F.col("t")))
+    full = keep(found.select("node", "text").mapInArrow(_full_rows(words), "node bigint, n bigint, values array<bigint>"), "sets")
+    if full.count() > count:  # rows repeat a doc_id and its text
+        once, again = keep(full.dropDuplicates(["node"]), "sets"), full
+        discard(again)
+        return once
+    return full
+
+
+def _inverted(full: DataFrame, percent: int, k: int) -> DataFrame:
+    """The inverted lists: (value, node, n, reach, weight), each class under the values it must share with any similar one."""
+    values = full.select("node", "n", F.explode(F.slice("values", 1, k)).alias("value"))
     often = keep(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
     shared = values.join(often, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     size, need = F.least(F.col("n"), F.lit(k)).cast("int"), _least_overlap(F.col("n"), percent, k)
-    shared = shared.withColumns({"u": size - F.size("v"), "need": need, "weight": F.aggregate("v", F.lit(0).cast("bigint"), lambda x, y: x + y["df"])}).where(F.size("v") >= F.col("need"))
-    listed = shared.select("node", "n", "u", "weight", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(0), size - F.col("need") + 1 - F.col("u")))).alias("v"))
-    listed = keep(listed.select(F.col("v.value").alias("value"), "node", "n", (size - F.col("u")).alias("shared"), "weight"), "listed")
-    # Where a list holds no size that it can be similar to, the class leaves it. The less the smaller or, beyond k, the larger a partner is, the
-    # less must be shared with it; so the least and the greatest size in reach decide.
-    ends = keep(listed.groupBy("value").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "ends")
-    least = F.least(*(_least_shared(F.col("n"), end, percent, k) for end in (F.greatest(F.col("lo"), F.ceil(percent * F.col("n") / 100)), F.least(F.col("hi"), F.floor(100 * F.col("n") / percent)))))
-    lists = keep(listed.join(ends, "value").where(F.col("shared") >= least).drop("lo", "hi"), "lists")
-    discard(low, seen, going, values, often, listed, ends)
+    shared = shared.where(F.size("v") >= need).withColumn("weight", F.aggregate("v", F.lit(0).cast("bigint"), lambda x, y: x + y["df"]))
+    # Values that no other class retains come first, and then the rarest; of v, as many as one more than may be missed.
+    listed = shared.select("node", "n", "weight", F.size("v").alias("c"), F.posexplode(F.slice("v", F.lit(1), F.size("v") - need + 1)).alias("at", "v"))
+    listed = keep(listed.select(F.col("v.value").alias("value"), "node", "n", (F.col("c") - F.col("at")).alias("reach"), "weight"), "listed")
+    ends = listed.groupBy("value").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c")).where("c > 1").drop("c")
+    lists = keep(listed.join(ends, "value").where(_in_reach(F.col("lo"), F.col("hi"), percent, k)).drop("lo", "hi"), "lists")
+    discard(often, listed)
     return lists
 
 
+def _open(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
+    """What is left of the lists, with comp: members that can reach a size of another component there."""
+    now = lists.drop("comp").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = now.groupBy("value", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # The two least and the two greatest sizes of different components: leaving out its own, each member finds the others' ends.
+    low, high = F.min(F.struct("lo", "comp")), F.max(F.struct("hi", "comp"))
+    first = keep(per.groupBy("value").agg(low.alias("low"), high.alias("high"), F.count("*").alias("c")).where("c > 1").drop("c"), "first-ends")
+    rest = keep(per.join(first, "value"), "ends")
+    low2 = F.min(F.when(F.col("comp") != F.col("low.comp"), F.col("lo"))).alias("low2")
+    high2 = F.max(F.when(F.col("comp") != F.col("high.comp"), F.col("hi"))).alias("high2")
+    ends = rest.groupBy("value").agg(F.first("low").alias("low"), F.first("high").alias("high"), low2, high2)
+    lo = F.when(F.col("comp") != F.col("low.comp"), F.col("low.lo")).otherwise(F.col("low2"))
+    hi = F.when(F.col("comp") != F.col("high.comp"), F.col("high.hi")).otherwise(F.col("high2"))
+    out = keep(now.join(ends, "value").where(_in_reach(lo, hi, percent, k)).drop("low", "high", "low2", "high2"), "open")
+    discard(first, rest)
+    return out
+
+
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
     """doc_id, tfp (xxhash64 of the text), n_shingles component_id (the least doc_id linked) and first (one row of each component) of every row."""
     texts = _texts(df)
-    rows = texts.mapInArrow(_sketch_rows(words, k), "doc_id bigint, tfp bigint, n bigint, fp binary, sketch array<bigint>")
+    rows = texts.mapInArrow(_sketch_rows(words, min(k, SCREEN)), "doc_id bigint, tfp bigint, n bigint, fp binary, sketch array<bigint>")
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    classes = keep(rows.where("fp is not null").groupBy("fp").agg(first).select("fp", F.col("first.row").alias("node"), F.col("first.doc_id").alias("rep")), "classes")
-    lists = _candidates(rows, classes, percent, k)
-    links = labels = None
-    hubs = None
+    classes = keep(_classes(rows), "classes")
+    screened = _screened(classes, percent, min(k, SCREEN))
+    full = _full_sets(texts, screened, words)
+    lists = _inverted(full, percent, k).withColumn("comp", F.col("node"))
+    links = labels = hubs = None
     for turn in range(MOST_ROUNDS + 1):
-        now = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = now if labels is None else keep(now, "labelled")
+        last = False
         if labels is not None:
-            per = now.groupBy("value", "comp").agg(F.count("*").alias("m")).groupBy("value").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("twice"))
-            left, entries = per.agg(F.sum("twice")).collect()[0][0] or 0, now.count()
-            if left == 0:
+            # Twice, as those that left may have been what others could reach.
+            once = _open(lists, labels, percent, k)
+            lists = _open(once, labels, percent, k)
+            discard(once)
+            per = lists.groupBy("value", "comp").agg(F.count("*").alias("m")).groupBy("value").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("twice"), F.sum("m").alias("m"))
+            left, entries = per.agg(F.sum("twice"), F.sum("m")).collect()[0]
+            if not left:
                 break
-            last = turn == MOST_ROUNDS or left / 2 <= PAIRS_PER_ENTRY * (entries + 100_000)
-        else:
-            last = False
-        x = now.alias("x")
+            last = turn == MOST_ROUNDS or left / 2 <= PAIRS_PER_ENTRY * (entries + 20_000)
+        x = lists.alias("x")
         if last:
-            pairs = x.join(now.alias("y"), "value").where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _pairable("x", "y", percent, k)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            pairs = x.join(lists.alias("y"), "value").where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _pairable("x", "y", percent, k)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         else:
             # A list's hub: of the components without one so far, the member that shares most.
-            free = now if hubs is None else now.join(hubs, ["value", "comp"], "left_anti")
-            drawn = free.groupBy("value").agg(F.max(F.struct("weight", F.negative("node").alias("minus"), "n", "shared", "comp")).alias("hub"))
-            drawn = keep(drawn.select("value", F.negative("hub.minus").alias("node"), "hub.n", "hub.shared", "hub.comp"), "hubs")
+            free = lists if hubs is None else lists.join(hubs, ["value", "comp"], "left_anti")
+            drawn = free.groupBy("value").agg(F.max(F.struct("reach", "weight", F.negative("node").alias("minus"), "n", "comp")).alias("hub"))
+            drawn = keep(drawn.select("value", F.negative("hub.minus").alias("node"), "hub.n", "hub.reach", "hub.comp"), "hubs")
             used = drawn.select("value", "comp")
             hubs = used if hubs is None else keep(hubs.union(used), "used")
-            pairs = x.join(drawn.alias("y"), "value").where((F.col("x.node") != F.col("y.node")) & ((F.col("x.comp") != F.col("y.comp"))) & _pairable("x", "y", percent, k)).select(F.col("x.node").alias("b"), F.col("y.node").alias("a"))
-        found = _verify(pairs.distinct(), rows, texts, words, percent, k)
+            pairs = x.join(drawn.alias("y"), "value").where((F.col("x.comp") != F.col("y.comp")) & _pairable("x", "y", percent, k)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        found = _verify(pairs.distinct(), full, percent)
         links = found if links is None else keep(links.union(found), "links")
         labels = components(links)
         if last:
             break
+    discard(full, screened)
     named = labels.join(classes.select("node", "rep"), "node")
     # Of each component the class with the least doc_id stands for it.
     least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("least")
     least = keep(named.groupBy("component").agg(least).select("component", F.col("least.rep").alias("component_id"), F.col("least.node").alias("first")), "components")
     named = named.join(least, "component").select("node", "component_id", "first")
-    classes = classes.join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", "node").alias("first"))
-    out = rows.select("doc_id", "tfp", "n", "fp", "row").join(keep(classes, "classes"), "fp", "left")
+    named = keep(classes.select("fp", "node", "rep").join(named, "node", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("first", "node").alias("first")), "named")
+    discard(classes)
+    out = rows.select("doc_id", "tfp", "n", "fp", "row").join(named, "fp", "left")
     return out.select("doc_id", "tfp", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("first"))
 
 

@@ -30,12 +30,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, keep, mix
+from .common import keep, mix
 
 WINDOW, SEED = 35, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+class WordIds(dict):
+    """word (bytes) -> small integer, with a 64-bit hash for each word.
+
+    Ids are exact within one object; hashes are the same on every machine.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self._hashes: list[int] = []
+        self._array = np.empty(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        i = self[word] = len(self._hashes)
+        self._hashes.append(xxhash.xxh3_64_intdigest(word))
+        return i
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        if len(self._array) < len(self._hashes):
+            fresh = np.array(self._hashes[len(self._array):], np.uint64)
+            self._array = np.concatenate([self._array, fresh])
+        return self._array
+
+    def trim(self, most: int = 300_000) -> None:
+        """Forget everything once there are more than ``most`` words (between documents only)."""
+        if len(self._hashes) > most:
+            self.clear()
+            self._hashes.clear()
+            self._array = np.empty(0, np.uint64)
+
+
 class Powers:
     """Powers of an odd base modulo 2**64, and of its inverse."""
 
