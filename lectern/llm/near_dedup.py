@@ -349,3 +349,27 @@ def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(documents, words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: Shingles of all documents and their overlaps, and what the links reach: for inputs whose pairs a single machine can hold.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+),
+s AS MATERIALIZED (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [hash(array_to_string(words, ' '), len(words))]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: hash(array_to_string(words[i:i + 2], ' '), 3)) END) AS shingles FROM w
+),
+classes AS MATERIALIZED (SELECT min(r) AS c, list_sort(shingles) AS shingles, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY list_sort(shingles), len(shingles)),
+each AS (SELECT c, n, unnest(shingles) AS h FROM classes),
+links AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM each a JOIN each b ON a.h = b.h AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reached(c, t) AS (SELECT c, c FROM classes UNION SELECT reached.c, links.b FROM reached JOIN links ON links.a = reached.t),
+members AS (SELECT s.doc_id, classes.c FROM s JOIN classes ON list_sort(s.shingles) = classes.shingles),
+least AS (SELECT reached.c, min(members.doc_id) AS component_id FROM reached JOIN members ON members.c = reached.t GROUP BY reached.c),
+found AS (SELECT s.doc_id, len(s.shingles) AS n, least.component_id FROM s LEFT JOIN classes ON list_sort(s.shingles) = classes.shingles LEFT JOIN least ON least.c = classes.c)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM found
+"""

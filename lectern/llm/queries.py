@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.SQL,
     "op2_secrets": secrets.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op4_url_filters": url_filters.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op8_chat_format": chat_format.SQL,

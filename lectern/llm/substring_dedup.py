@@ -1,18 +1,22 @@
-"""Substring dedup: documents parsed into phrases of a corpus-wide reference.
-
-A document is factored greedily, from left to right, into phrases: maximal stretches of
-windows (35 words by default) that share a minimizer, the least hash of the 8-word seeds in
-a window. Where a text repeats, its phrases repeat, because a window's minimizer
-depends on nothing outside it. Phrases are the reference's entries, grouped in blocks by their
-minimizer, so a phrase is compared with every block that could hold it without
-visiting the others. A phrase found twice is duplicate as a whole, and runs of such phrases
-form one long factor. At a factor's boundary, where a minimizer recurs with other
-phrases, the windows are checked one by one against all windows under that minimizer.
-The spans are exact (up to 64-bit hashes): a word is covered if and only
-if some window over it starts elsewhere too, in the same document or another.
-
-Counts are summed by key before and after each shuffle; no group is ever
-gathered in one task, and all tables that a hot key could skew are written first, so
+"""Substring dedup by relative Lempel-Ziv parsing of documents against a corpus-wide reference.
+
+The reference is the corpus, cut into phrases: maximal stretches of windows (35
+words by default) that share a minimizer, the least hash of the 8-word seeds in a window.
+Where a text repeats, its phrases repeat, because a window's minimizer depends on
+nothing outside it. A reference block holds the phrases under one minimizer, each with the first and
+the last place where it occurs; so a document's phrase is compared with every block that
+can match it, and no other is visited.
+
+Each document is parsed greedily from left to right. A factor (start, length, source) is a stretch that
+occurs again, word for word, from its source on; it is extended by the next phrase for as long as one of its sources
+goes on with that phrase too, and ends where none does. At a factor's boundary, where a block
+holds phrases that begin or end elsewhere, windows are checked one by one
+against all windows of that block, and extend or start factors likewise. Every factor is at least a window long, and a
+word is covered by factors if and only if some window over it starts elsewhere too, in
+the same document or another. Phrases and windows are compared by hashes of 128 bits.
+
+Counts and ends are summed by key before and after each shuffle; no group is ever
+gathered in one task but the pieces of one document, and all tables that a hot key could skew are written first, so
 that adaptive execution splits its partitions.
 
 Nulls: a null text has no words. Rows are told apart by doc_id and text, so rows that
@@ -30,79 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, mix
+from .common import discard, keep
+from .hashing import Hasher, Words, parts
 
 WINDOW, SEED = 35, 8
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-class WordIds(dict):
-    """word (bytes) -> small integer, with a 64-bit hash for each word.
-
-    Ids are exact within one object; hashes are the same on every machine.
-    """
-
-    def __init__(self):
-        super().__init__()
-        self._hashes: list[int] = []
-        self._array = np.empty(0, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        i = self[word] = len(self._hashes)
-        self._hashes.append(xxhash.xxh3_64_intdigest(word))
-        return i
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def hashes(self) -> np.ndarray:
-        if len(self._array) < len(self._hashes):
-            fresh = np.array(self._hashes[len(self._array):], np.uint64)
-            self._array = np.concatenate([self._array, fresh])
-        return self._array
-
-    def trim(self, most: int = 300_000) -> None:
-        """Forget everything once there are more than ``most`` words (between documents only)."""
-        if len(self._hashes) > most:
-            self.clear()
-            self._hashes.clear()
-            self._array = np.empty(0, np.uint64)
-
-
-class Powers:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 4096)
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-
-
-class Hasher:
-    """Hashes of stretches of words: equal exactly where the words are, on any machine."""
-
-    def __init__(self):
-        self.words, self.powers = WordIds(), Powers()
-
-    def load(self, words: list[bytes]) -> None:
-        self.words.trim()
-        ids = self.words.ids(words)
-        self.powers.reach(len(words) + 1)
-        terms = self.words.hashes()[ids] * self.powers.up[: len(ids)]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.powers.down[starts])
-
-    def every(self, length: int) -> np.ndarray:
-        """The hash of each stretch of this length."""
-        n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * self.powers.down[:n])
+#: A phrase or a window: equal exactly where these are.
+_KEY = ["h0", "h1"]
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -117,57 +54,58 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def phrases(hasher: Hasher, n_words: int, window: int = WINDOW, seed: int = SEED):
-    """(minimizer, phrase hash, first window, number of windows) of the loaded document's phrases."""
-    if n_words < window:
+def phrases(hasher: Hasher, words: Words, window: int = WINDOW, seed: int = SEED):
+    """(text, minimizer, first window, number of windows) of the phrases of some texts, whose words the hasher holds."""
+    n = len(words) - window + 1
+    if n <= 0:
         empty = np.empty(0, np.int64)
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
-    seeds = hasher.every(seed)
+        return empty, empty.astype(np.uint64), empty, empty
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    starts = np.arange(len(words) - seed + 1)
+    seeds = hasher.of(starts, starts + seed)
     at = least_places(seeds, window - seed + 1)
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    count = np.diff(np.append(first, len(at)))
-    return seeds[at[first]], hasher.of(first, first + count + window - 1) + count.astype(np.uint64), first, count
+    whole = text[:n] == text[window - 1:]
+    same = whole[1:] & whole[:-1] & (at[1:] == at[:-1]) & (text[1:n] == text[: n - 1])
+    first = np.flatnonzero(whole & ~np.concatenate([[False], same]))
+    last = np.flatnonzero(whole & ~np.concatenate([same, [False]]))
+    return text[first], seeds[at[first]], first, last - first + 1
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def _hashers() -> tuple[Hasher, Hasher]:
+    return Hasher(0), Hasher(1)
 
 
 def _phrase_rows(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        lanes = _hashers()
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                found = []
-                for text in part.column("text").to_pylist():
-                    words = _words(text)
-                    hasher.load(words)
-                    found.append(phrases(hasher, len(words), window, seed))
-                counts = [len(x[0]) for x in found]
-                of = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                block, phrase, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(of), "fp": part.column("fp").take(of), "block": block.view(np.int64), "phrase": phrase.view(np.int64), "start": pa.array(first, pa.int32()), "n": pa.array(count, pa.int32())})
+            for low, _, words in parts(batch.column("text")):
+                for lane in lanes:
+                    lane.load(words)
+                text, block, first, count = phrases(lanes[0], words, window, seed)
+                h0, h1 = (lane.of(first, first + count + window - 1).view(np.int64) for lane in lanes)
+                of = pa.array(low + text)
+                yield pa.record_batch({"doc_id": batch.column("doc_id").take(of), "fp": batch.column("fp").take(of), "block": block.view(np.int64), "h0": h0, "h1": h1, "start": pa.array(first - words.first[text], pa.int32()), "n": pa.array(count, pa.int32())})
 
     return run
 
 
 def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        lanes = _hashers()
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                hashes, starts, copies, counts = [], [], [], []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    hasher.load(_words(text))
-                    at = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans])
-                    hashes.append(hasher.of(at, at + window))
-                    starts.append(at)
-                    copies.append(np.repeat([s["copies"] for s in spans], [s["n"] for s in spans]))
-                    counts.append(len(at))
-                of = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(of), "fp": part.column("fp").take(of), "window": np.concatenate(hashes).view(np.int64), "start": pa.array(np.concatenate(starts), pa.int32()), "copies": pa.array(np.concatenate(copies), pa.int64())})
+            for low, high, words in parts(batch.column("text")):
+                for lane in lanes:
+                    lane.load(words)
+                spans = batch.column("spans").slice(low, high - low)
+                start, n, copies = (spans.flatten().field(k).to_numpy() for k in ("start", "n", "copies"))
+                text = np.repeat(np.arange(high - low), spans.value_lengths().to_numpy())
+                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at, of = np.repeat(start, n) + within, np.repeat(text, n)
+                place = at + words.first[of]
+                h0, h1 = (lane.of(place, place + window).view(np.int64) for lane in lanes)
+                row = pa.array(low + of)
+                yield pa.record_batch({"doc_id": batch.column("doc_id").take(row), "fp": batch.column("fp").take(row), "h0": h0, "h1": h1, "start": pa.array(at, pa.int32()), "copies": pa.array(np.repeat(copies, n), pa.int64())})
 
     return run
 
@@ -176,60 +114,126 @@ def _texts(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
 
 
-def duplicate_windows(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, start, n): the n windows from start on occur elsewhere too. fp: xxhash64 of the text."""
-    rows = keep(_texts(df).mapInArrow(_phrase_rows(window, seed), "doc_id bigint, fp bigint, block bigint, phrase bigint, start int, n int"), "phrases")
-    blocks = rows.groupBy("block").agg(F.count("*").alias("c"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi"))
-    blocks = keep(blocks.where("c > 1").select("block", (F.col("lo") != F.col("hi")).alias("mixed")), "blocks")
+def _ends(place) -> list:
+    return [F.min(place).alias("first"), F.max(place).alias("last")]
+
+
+def pieces(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, start, n, first, last): the n windows from start on occur elsewhere too; first and last: places of theirs. fp: xxhash64 of the text."""
+    rows = keep(_texts(df).mapInArrow(_phrase_rows(window, seed), "doc_id bigint, fp bigint, block bigint, h0 bigint, h1 bigint, start int, n int"), "phrases")
+    blocks = rows.groupBy("block").agg(F.count("*").alias("c"), *(f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in _KEY))
+    mixed = (F.col("min_h0") != F.col("max_h0")) | (F.col("min_h1") != F.col("max_h1"))
+    blocks = keep(blocks.where("c > 1").select("block", mixed.alias("mixed")), "blocks")
     shared = keep(rows.join(blocks, "block"), "shared")
-    whole = shared.where("not mixed").select("doc_id", "fp", "start", "n")
-    # Blocks with several phrases: those that recur are duplicate as a whole, too.
-    place = F.struct("doc_id", "fp", "start", "n")
-    mixed = shared.where("mixed").groupBy("block", "phrase").agg(F.count("*").alias("copies"), F.min(place).alias("at"))
-    mixed = keep(mixed, "mixed")
-    recurring = mixed.where("copies > 1").select("block", "phrase")
-    whole = whole.union(shared.where("mixed").join(recurring, ["block", "phrase"]).select("doc_id", "fp", "start", "n"))
-    # One place of each phrase stands for its copies; its windows meet those of the block's other phrases.
-    per_text = mixed.select(F.col("at.doc_id").alias("d"), F.col("at.fp").alias("f"), F.struct("at.start", "at.n", "copies").alias("span"))
+    discard(rows, blocks)
+    place = F.struct("doc_id", "fp", "start")
+    entries = keep(shared.groupBy("block", *_KEY, "mixed").agg(F.count("*").alias("copies"), F.max("n").alias("n"), *_ends(place)), "entries")
+    recurring = entries.where("copies > 1").select("block", *_KEY, "first", "last")
+    whole = keep(shared.join(recurring, ["block", *_KEY]).select("doc_id", "fp", "start", "n", "first", "last"), "recurring")
+    discard(shared)
+    # Blocks with several phrases: one place of each stands for its copies, and its windows meet those of the others.
+    per_text = entries.where("mixed").select(F.col("first.doc_id").alias("d"), F.col("first.fp").alias("f"), F.struct("first.start", "n", "copies").alias("span"))
     per_text = keep(per_text.groupBy("d", "f").agg(F.collect_list("span").alias("spans")), "spans")
+    discard(entries)
     # Rows that repeat a doc_id and its text need no care here: all their phrases have copies.
     texts = _texts(df).join(per_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))).select("doc_id", "fp", "text", "spans")
-    windows = keep(texts.mapInArrow(_window_rows(window), "doc_id bigint, fp bigint, window bigint, start int, copies bigint"), "windows")
-    twice = keep(windows.groupBy("window").agg(F.sum("copies").alias("c"), F.min("copies").alias("least")).where("c > 1 and least = 1").select("window"), "twice")
-    edges = windows.where("copies = 1").join(twice, "window").select("doc_id", "fp", "start", F.lit(1).alias("n"))
+    windows = keep(texts.mapInArrow(_window_rows(window), "doc_id bigint, fp bigint, h0 bigint, h1 bigint, start int, copies bigint"), "windows")
+    twice = windows.groupBy(*_KEY).agg(F.sum("copies").alias("c"), F.min("copies").alias("least"), *_ends(place))
+    twice = keep(twice.where("c > 1 and least = 1").select(*_KEY, "first", "last"), "twice")
+    edges = keep(windows.where("copies = 1").join(twice, _KEY).select("doc_id", "fp", "start", F.lit(1).alias("n"), "first", "last"), "edges")
+    discard(per_text, windows, twice)
     return whole.union(edges)
 
 
+def parse(own: tuple, found: list[tuple], window: int = WINDOW) -> list[tuple]:
+    """The factors (start, length, source) of the text at own (doc_id, fp) from its pieces (start, n, first, last).
+
+    A source is a place (doc_id, fp, start) from which on the factor's words stand again.
+    """
+    factors, live, start, end = [], [], None, None
+    for at, n, first, last in sorted(found, key=lambda x: x[0]):
+        # Rows that repeat doc_id and text are each other's source, at the same place.
+        sources = [s for s in (first, last) if s != (*own, at)] or [first]
+        going = [(d, f, s) for d, f, s in live if (d, f, s + at - start) in sources] if at == end else []
+        if going:
+            live = going
+        else:
+            if live:
+                factors.append((start, end - start + window - 1, live[0]))
+            start, live = at, sources
+        end = at + n
+    if live:
+        factors.append((start, end - start + window - 1, live[0]))
+    return factors
+
+
+_PLACE = pa.struct([("doc_id", pa.int64()), ("fp", pa.int64()), ("start", pa.int32())])
+
+
+def factorize(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, factors) of every text with repeats; factors: its start, length and source in the order of the text."""
+    found = pieces(df, window, seed).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "n", "first", "last")).alias("pieces"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", _PLACE)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = lambda x: (x["doc_id"], x["fp"], x["start"])
+            out = []
+            for d, f, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fp", "pieces")), strict=True):
+                got = parse((d, f), [(p["start"], p["n"], flat(p["first"]), flat(p["last"])) for p in own], window)
+                out.append([{"start": s, "length": n, "source": dict(zip(("doc_id", "fp", "start"), src, strict=True))} for s, n, src in got])
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": batch.column("fp"), "factors": pa.array(out, kind)})
+
+    return found.mapInArrow(run, "doc_id bigint, fp bigint, factors array<struct<start:int,length:int,source:struct<doc_id:bigint,fp:bigint,start:int>>>")
+
+
 def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words left, joined by blanks) of every row."""
-    found = duplicate_windows(df, window, seed).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    found = keep(found.withColumnsRenamed({"doc_id": "d", "fp": "f"}), "repeats")
+    """doc_id, n_words, n_removed, n_factors and kept (the words left, joined by blanks) of every row."""
+    spans = F.transform("factors", lambda f: F.struct(f["start"].alias("start"), f["length"].alias("length"))).alias("spans")
+    found = keep(factorize(df, window, seed).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), spans), "repeats")
     texts = _texts(df).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                total, gone, kept = [], [], []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans"), strict=True):
-                    words = _words(text)
+                total, gone, factors, kept = [], [], [], []
+                for text, own in zip(part.column("text").to_pylist(), part.column("spans"), strict=True):
+                    words = (text or "").encode("utf-8", "surrogatepass").split()
                     total.append(len(words))
-                    if not spans.is_valid:
+                    if not own.is_valid:
                         gone.append(0)
+                        factors.append(0)
                         kept.append(b" ".join(words))
                         continue
-                    starts, counts = (spans.values.field(k).to_numpy() for k in ("start", "n"))
+                    starts, lengths = (own.values.field(k).to_numpy() for k in ("start", "length"))
                     step = np.zeros(len(words) + 1, np.int64)
                     np.add.at(step, starts, 1)
-                    np.add.at(step, starts + counts + window - 1, -1)
+                    np.add.at(step, starts + lengths, -1)
                     left = np.cumsum(step[:-1]) == 0
                     kept.append(b" ".join([w for w, k in zip(words, left.tolist(), strict=True) if k]))
                     gone.append(len(words) - int(left.sum()))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())})
+                    factors.append(len(starts))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_factors": pa.array(factors, pa.int64()), "kept": pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())})
 
-    return texts.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return texts.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, n_factors bigint, kept string")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(documents).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SQL = rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS words FROM documents),
+starts AS (SELECT r, words, unnest(range(1, len(words) - {WINDOW - 2})) AS s FROM w WHERE len(words) >= {WINDOW}),
+windows AS (SELECT r, s, sha256(array_to_string(words[s:s + {WINDOW - 1}], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+found AS (SELECT r, s FROM windows JOIN twice USING (h)),
+gone AS (SELECT DISTINCT r, s + unnest(range(0, {WINDOW})) AS i FROM found),
+each AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM each ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""

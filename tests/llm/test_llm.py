@@ -228,10 +228,31 @@ def brute_repeats(rows, window):
 @pytest.mark.parametrize(("window", "seed"), [(35, 8), (10, 4)])
 def test_repeats_match_brute_force(spark, window, seed):
     rows = corpus(2) + ODD
-    got = substring_dedup.remove_repeats(documents(spark, rows), window, seed).collect()
+    got = substring_dedup.remove_repeats(documents(spark, rows), window, seed).drop("n_factors").collect()
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows, window)
 
 
+def test_factors_stand_again_at_their_source(spark):
+    rows = [*corpus(5), (600, None), (601, "a b c"), (602, "tick " * 60)]
+    texts = {d: (t or "").split() for d, t in rows}
+    found = substring_dedup.factorize(documents(spark, rows), 10, 4).collect()
+    assert len(found) > 20
+    for r in found:
+        for f in r["factors"]:
+            own, source = texts[r["doc_id"]], texts[f["source"]["doc_id"]]
+            assert f["length"] >= 10
+            assert (r["doc_id"], f["start"]) != (f["source"]["doc_id"], f["source"]["start"])
+            assert own[f["start"]: f["start"] + f["length"]] == source[f["source"]["start"]: f["source"]["start"] + f["length"]]
+    # A whole copy is one factor; so is each run of a passage that ends where its copies differ.
+    by = {r["doc_id"]: r["factors"] for r in found}
+    assert [(f["start"], f["length"]) for f in by[200]] == [(0, len(texts[200]))]
+
+
+def test_repeats_of_nothing(spark):
+    assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
+    assert substring_dedup.remove_repeats(documents(spark, ODD).withColumns({"fp": F.lit(1), "spans": F.lit("x"), "start": F.lit(2)})).count() == len(ODD)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 9))
 def test_least_places(values, width):
