@@ -39,18 +39,12 @@ def histogram(df: DataFrame, keys: list[str]) -> DataFrame:
 def preferred(df: DataFrame, keys: list[str], rank: str, item: str) -> DataFrame:
     """The item of greatest rank in each group, whether others tie with it, and how many ranks are missing."""
     best = F.max(F.struct(F.col(rank), F.negative(F.col(item)).alias("minus")))
-    g = df.groupBy(*keys).agg(best.alias("best"), F.count("*").alias("n_items"), F.count(F.when(F.col(rank).isNull(), 1)).alias("n_missing"), F.collect_set(rank).alias("ranks"))
+    g = df.groupBy(*keys).agg(best.alias("best"), F.count("*").alias("n_items"), F.count(F.when(F.col(rank).isNull(), 1)).alias("n_missing"))
     ties = df.groupBy(*keys, rank).agg(F.count("*").alias("n_tied"))
     out = g.join(ties, [*keys], "inner").where(F.col(rank).eqNullSafe(F.col("best")[rank]))
     return out.select(*keys, F.negative(F.col("best.minus")).alias(item), F.col(f"best.{rank}").alias(rank), (F.col("n_tied") > 1).alias("tied"), "n_items", "n_missing")
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> Column:
-    """A digest of all rows that does not depend on their order: the hash of their sorted hashes. One task holds them all; large tables take order_free_digest."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256)
-
-
 def order_free_digest(columns: list[str]) -> Column:
     """As an aggregate of fixed size: count, and the sums of two 60-bit pieces of each row's hash. Repeated rows count as often as they occur."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns)), 256)

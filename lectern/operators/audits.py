@@ -92,7 +92,7 @@ def missing_metadata(c: Corpus, key: str = "license") -> DataFrame:
 def tag_census(events: DataFrame) -> DataFrame:
     """For each tag: openings, records, attribute keys, empty values and repeated attributes."""
     o = events.where("name IS NOT NULL AND NOT closing")
-    return o.groupBy("name").agg(F.count("*").alias("n_open"), F.countDistinct(REC).alias("n_records"), F.array_sort(F.flatten(F.collect_set(F.map_keys("attrs")))).alias("keys"),
+    return o.groupBy("name").agg(F.count("*").alias("n_open"), F.countDistinct(REC).alias("n_records"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("attrs"))))).alias("keys"),
                                  F.sum(F.size(F.filter(F.map_values("attrs"), lambda v: v == ""))).alias("n_empty"), F.sum(F.aggregate(F.map_values("repeated"), F.lit(0), lambda a, x: a + F.size(x) - 1)).alias("n_surplus")).withColumn("keys", F.array_distinct("keys"))
 
 

@@ -92,6 +92,17 @@ class Query:
         e = self.edges(kind)
         return e.join(d.withColumnsRenamed({"node_id": "src", REC: "source_record"}), "src").join(d.withColumnsRenamed({"node_id": "dst", REC: "target_record"}), "dst")
 
+    def views(self, rank: DataFrame | None = None) -> DataFrame:
+        """(view, source_record_id): all records; one of each set of equal bytes; one of each identity; and of each identity the one of the greatest rank.
+
+        rank: source_record_id and rank. The least id stands for its group. No view changes the corpus.
+        """
+        d = self.g.documents.select(REC, F.sha2("content", 256).alias("bytes"), F.coalesce("scholarly_id", REC).alias("identity"))
+        ranked = d.join(rank, REC, "left") if rank is not None else d.withColumn("rank", F.lit(None).cast("int"))
+        one = lambda view, df: df.select(F.lit(view).alias("view"), REC)
+        best = ranked.groupBy("identity").agg(F.min_by(REC, F.struct(F.coalesce(F.negative("rank"), F.lit(2**31 - 1)), REC)).alias(REC))
+        return one("all", d).union(one("nonredundant", d.groupBy("bytes").agg(F.min(REC).alias(REC)))).union(one("source_preferred", d.groupBy("identity").agg(F.min(REC).alias(REC)))).union(one("best_parsing", best))
+
     def text(self, feature: str = "source_text", separator: str = " ") -> DataFrame:
         """Each record's text from one feature of its words, in order."""
         self._need(self.g.slots, feature)

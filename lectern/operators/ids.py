@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 def dense_ids(rows: DataFrame, groups: DataFrame, key: str, order: list[Column], ordinal: str, name: str = "node_id", start: int = 0) -> DataFrame:
     """rows with ids 1..N (plus start), ordered by their group's order and then by ordinal 1..n in the group.
@@ -21,10 +23,11 @@ def dense_ids(rows: DataFrame, groups: DataFrame, key: str, order: list[Column],
 def running_offsets(groups: DataFrame, order: list[str], size: str) -> DataFrame:
     """groups with __before: the sizes of all groups before each, in order.
 
-    Each range partition sums up its own groups; then the partitions' totals, a few rows,
-    are summed up and added.
+    Groups are ranged once, and written with the number of their range partition: whatever is
+    taken from that table belongs to the same partitions, however a later plan prunes it. Each
+    partition sums up its own groups; then the partitions' totals, a few rows, are summed up and added.
     """
-    ranged = groups.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = written(groups.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
     own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("__inside", F.coalesce(F.sum(size).over(own), F.lit(0)))
     totals = ranged.groupBy("__part").agg(F.sum(size).alias("__total"))

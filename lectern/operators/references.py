@@ -165,7 +165,7 @@ def resolve_annotations(c: Corpus, sources: DataFrame, verses: DataFrame, editio
     meta = lambda k: F.trim(F.element_at("metadata", k))
     identity = F.array(*(F.lit(k) for k in ("book", "chapter", "corpus", "document_cts_urn")))
     d = c.documents.select(REC, "corpus", meta("book").alias("named"), positive_int(meta("chapter")).cast("bigint").alias("chapter"), meta("document_cts_urn").alias("cts"), F.arrays_overlap(F.map_keys("metadata_duplicates"), identity).alias("repeated"))
-    d = d.join(F.broadcast(sources), "corpus", "left").withColumn("attested", F.col("work").isNotNull() & (F.col("named") == F.col("book_name")))
+    d = d.join(sources, "corpus", "left").withColumn("attested", F.col("work").isNotNull() & (F.col("named") == F.col("book_name")))
     a = c.annotations.where("track = 'sbl'").join(d, REC)
     w = c.words.select(F.col(REC).alias("__r"), F.col("ordinal").alias("__w"), "verse_n", "vid_n", "verse_vid")
     single = lambda x: (F.countDistinct(x) + F.max(F.when(F.col("__w").isNotNull() & F.col(x).isNull(), 1).otherwise(0))) <= 1

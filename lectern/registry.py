@@ -60,21 +60,6 @@ def word_slots(spark, sf_dir):
     return ids.dense_ids(w, load(spark, sf_dir, "documents", "doc_id"), "doc_id", [F.col("doc_id")], "ordinal", "slot").select("doc_id", "ordinal", "word", long("slot").alias("slot"))
 
 
-@query(f"WITH {_WORDS_SQL} SELECT doc_id, ordinal FROM words WHERE word = 'the'")
-def lemma_filter(spark, sf_dir):
-    return words(load(spark, sf_dir, "documents", "doc_id", "text")).where("word = 'the'").select("doc_id", "ordinal")
-
-
-@query("SELECT event_id, user_id FROM events WHERE event_type = 'click' AND value > 50 AND user_id IS NOT NULL")
-def morph_filter(spark, sf_dir):
-    return load(spark, sf_dir, "events").where("event_type = 'click' AND value > 50 AND user_id IS NOT NULL").select("event_id", "user_id")
-
-
-@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND source = 'src0'")
-def document_filter(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where("lang = 'en' AND source = 'src0'").select("doc_id", "n_chars")
-
-
 _TAGS_SQL = """t AS (SELECT page_id, regexp_extract_all(html, '<(/?)([A-Za-z_][A-Za-z0-9_.:-]*)([^>]*)>', 1) AS c, regexp_extract_all(html, '<(/?)([A-Za-z_][A-Za-z0-9_.:-]*)([^>]*)>', 2) AS n FROM pages),
 tags AS (SELECT page_id, unnest(range(1, len(n) + 1)) AS i, unnest(c) = '/' AS closing, unnest(n) AS name FROM t)"""
 
@@ -91,11 +76,6 @@ def tag_events(spark, sf_dir):
     return _tags(spark, sf_dir)
 
 
-@query(f"WITH {_TAGS_SQL} SELECT name, count(*) FILTER (NOT closing) AS n_open, count(*) FILTER (closing) AS n_close, count(DISTINCT page_id) AS n_pages FROM tags GROUP BY name")
-def tag_census(spark, sf_dir):
-    return _tags(spark, sf_dir).groupBy("name").agg(F.count_if(~F.col("closing")).alias("n_open"), F.count_if("closing").alias("n_close"), F.countDistinct("page_id").alias("n_pages"))
-
-
 @query(f"""WITH {_TAGS_SQL}, lv AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY i) + CASE WHEN closing THEN 1 ELSE 0 END AS depth FROM tags),
 nx AS (SELECT *, lead(i) OVER w AS e, lead(closing) OVER w AS ec FROM lv WINDOW w AS (PARTITION BY page_id, name, depth ORDER BY i))
 SELECT page_id, name, CAST(i - 1 AS BIGINT) AS seq, CAST(CASE WHEN ec THEN e - 1 END AS BIGINT) AS end_seq, CAST(depth AS BIGINT) AS depth FROM nx WHERE NOT closing""")
@@ -126,14 +106,6 @@ def char_offsets(spark, sf_dir):
     return w.select("doc_id", "ordinal", long(W.running_length(F.col("word"), ["doc_id"], ["ordinal"])).alias("char_start"))
 
 
-@query(f"WITH {_WORDS_SQL} SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY ordinal)) AS rendered, count(*) AS n_words FROM words GROUP BY doc_id")
-def text_render(spark, sf_dir):
-    """Rendered text of each document from its words, in order."""
-    w = words(load(spark, sf_dir, "documents", "doc_id", "text"))
-    pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "word"))), lambda x: x["word"]), " ")
-    return w.groupBy("doc_id").agg(F.sha2(pieces, 256).alias("rendered"), F.count("*").alias("n_words"))
-
-
 @query(f"WITH {_WORDS_SQL}, c AS (SELECT lower(word) AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM words GROUP BY 1) SELECT word, n, n_docs FROM c")
 def word_census(spark, sf_dir):
     return words(load(spark, sf_dir, "documents", "doc_id", "text")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
@@ -207,13 +179,6 @@ def anomaly_missing(spark, sf_dir):
     return found.groupBy("o_custkey").agg(F.count("*").alias("n_missing"), F.count_if("found").alias("n_present"))
 
 
-@query(f"WITH {_RUNS_SQL} SELECT user_id, count(DISTINCT run) AS n_runs, count(*) AS n_events FROM r WHERE event_type = 'click' GROUP BY user_id")
-def inverse_lookup(spark, sf_dir):
-    """From a value back to the runs that carry it."""
-    r = W.runs(load(spark, sf_dir, "events"), ["user_id"], ["event_id"], ["event_type"]).where("event_type = 'click'")
-    return r.groupBy("user_id").agg(F.countDistinct("run").alias("n_runs"), F.count("*").alias("n_events"))
-
-
 # Graph
 
 @query("SELECT a.conv_id, a.turn AS src, b.turn AS dst, a.role AS src_role, b.role AS dst_role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.turn > 0")
@@ -261,19 +226,6 @@ def node_ids(spark, sf_dir):
     return ids.dense_ids(l, o, "l_orderkey", [F.col("o_orderpriority"), F.col("l_orderkey")], "ordinal").select("l_orderkey", "l_linenumber", long("node_id").alias("node_id"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(role) ELSE role END || CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 THEN '.' ELSE ' ' END AS surface FROM conversations""")
-def diplomatic(spark, sf_dir):
-    """A surface form that overrides the plain one, with separators between and at the end."""
-    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) == 1
-    surface = F.concat(F.when(F.col("turn") % 2 == 0, F.upper("role")).otherwise(F.col("role")), F.when(last, ".").otherwise(" "))
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", surface.alias("surface"))
-
-
-@query("""SELECT (SELECT sha256(string_agg(r, '' ORDER BY r)) FROM (SELECT sha256(n_nationkey::VARCHAR || chr(31) || n_name || chr(31) || n_regionkey::VARCHAR) AS r FROM nation)) AS nation, (SELECT count(*) FROM nation) AS n""")
-def fingerprint(spark, sf_dir):
-    return load(spark, sf_dir, "nation").agg(A.fingerprint(None, ["n_nationkey", "n_name", "n_regionkey"]).alias("nation"), F.count("*").alias("n"))
-
-
 _DIGESTED = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
@@ -315,24 +267,6 @@ def address_lookup(spark, sf_dir):
     return r.select("c_custkey", "n_name", "r_name", status.alias("status"))
 
 
-@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'no_record' WHEN c_acctbal < 0 THEN 'metadata_conflict' WHEN n_regionkey = 0 THEN 'unclassified' WHEN o_totalprice > 200000 THEN 'ambiguous' ELSE 'candidate' END AS status
-  FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON c_custkey = o_custkey) GROUP BY status""")
-def resolver_cascade(spark, sf_dir):
-    """Statuses by the first rule that fits."""
-    c = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    rules = [("no_record", F.col("o_orderkey").isNull()), ("metadata_conflict", F.col("c_acctbal") < 0), ("unclassified", F.col("n_regionkey") == 0), ("ambiguous", F.col("o_totalprice") > 200000)]
-    return c.groupBy(joins.cascade(rules, "candidate").alias("status")).agg(F.count("*").alias("n"))
-
-
-@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'left_over' WHEN l.quality = 0 THEN 'placeholder' WHEN d.n_chars < 500 THEN 'token_alignment' ELSE 'supplemented' END AS status
-  FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
-def supplement_status(spark, sf_dir):
-    """Full outer join with a ledger of outcomes."""
-    d, l = load(spark, sf_dir, "documents", "doc_id", "n_chars").alias("d"), load(spark, sf_dir, "labels", "doc_id", "quality").alias("l")
-    rules = [("missing", F.col("l.doc_id").isNull()), ("left_over", F.col("d.doc_id").isNull()), ("placeholder", F.col("quality") == 0), ("token_alignment", F.col("n_chars") < 500)]
-    return d.join(l, F.col("d.doc_id") == F.col("l.doc_id"), "full_outer").select(F.coalesce("d.doc_id", "l.doc_id").alias("doc_id"), joins.cascade(rules, "supplemented").alias("status"))
-
-
 @query("""SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.doc_id IS NULL THEN 'right_only' WHEN l.quality IS DISTINCT FROM r.quality OR l.toxic IS DISTINCT FROM r.toxic THEN 'mismatch' ELSE 'matched' END AS outcome,
   CASE WHEN r.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN nullif(concat_ws(',', CASE WHEN l.quality IS DISTINCT FROM r.quality THEN 'quality' END, CASE WHEN l.toxic IS DISTINCT FROM r.toxic THEN 'toxic' END), '') END AS differing
   FROM (SELECT doc_id, quality, toxic FROM labels) l FULL JOIN (SELECT doc_id, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END AS quality, 0 AS toxic FROM documents WHERE lang = 'en') r ON l.doc_id = r.doc_id""")
@@ -343,41 +277,11 @@ def reconcile_fields(spark, sf_dir):
 
 # Identity
 
-_CLASS_SQL = "CASE WHEN sha256(a.text) = sha256(b.text) THEN 'byte_identical' WHEN a.lang <> b.lang THEN 'alternate_analysis' ELSE 'core_identical' END"
-
-
-@query(f"""WITH k AS (SELECT doc_id, text, lang, regexp_replace(lower(text), '\\s+', ' ', 'g') AS norm FROM documents), f AS (SELECT norm, min(doc_id) AS first FROM k GROUP BY norm)
-SELECT a.doc_id AS "left", b.doc_id AS "right", {_CLASS_SQL} AS classification FROM k b JOIN f USING (norm) JOIN k a ON a.doc_id = f.first WHERE b.doc_id <> f.first""")
-def identity_pairs(spark, sf_dir):
-    """Documents of one identity, each with its first, classified from bytes to analysis."""
-    d = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    d = d.select("doc_id", "lang", F.sha2("text", 256).alias("bytes"), F.sha2(F.regexp_replace(F.lower("text"), r"\s+", " "), 256).alias("identity"))
-    p = joins.pairs_by_identity(d, "identity", "doc_id", ["bytes", "lang"])
-    rules = [("byte_identical", F.col("left_bytes") == F.col("right_bytes")), ("alternate_analysis", F.col("left_lang") != F.col("right_lang"))]
-    return p.select("left", "right", joins.cascade(rules, "core_identical").alias("classification"))
-
-
 @query("SELECT size, count(*) AS n_groups FROM (SELECT count(*) AS size FROM documents GROUP BY sha256(text)) GROUP BY size")
 def identity_multiplicity(spark, sf_dir):
     return A.histogram(load(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h")), ["h"])
 
 
-@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON d.lang || ':' || CAST(d.doc_id % 16 + 1 AS VARCHAR) = 'en:' || CAST(b.item_id AS VARCHAR) AND b.item_id BETWEEN 1 AND 16""")
-def declared_overlap(spark, sf_dir):
-    """Pairs by generated keys: a family and a chapter number."""
-    b = load(spark, sf_dir, "benchmark", "item_id").where("item_id BETWEEN 1 AND 16").withColumn("key", F.concat(F.lit("en:"), F.col("item_id").cast("string")))
-    d = load(spark, sf_dir, "documents", "doc_id", "lang").withColumn("key", F.concat(F.col("lang"), F.lit(":"), (F.col("doc_id") % 16 + 1).cast("string")))
-    return d.join(b, "key").select("doc_id", "item_id")
-
-
-@query("""WITH e AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS target FROM pages) SELECT target, count(*) AS n_pages, min(page_id) AS first_page FROM e GROUP BY target""")
-def witness_links(spark, sf_dir):
-    """Distinct targets quoted in a text, resolved one to many."""
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)))
-    e = load(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.explode(found).alias("target"))
-    return e.groupBy("target").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
-
-
 # Audits
 
 @query("""SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' WHEN grouping(quality) = 0 THEN 'quality' ELSE 'all' END AS dimension,
@@ -409,11 +313,6 @@ def unanimity(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(A.unanimous("l_returnflag").alias("flag"), A.unanimous("l_linestatus", null_counts=True).alias("status"))
 
 
-@query("SELECT n_rows, count(*) AS n_keys FROM (SELECT count(*) AS n_rows FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY n_rows")
-def partition_proof(spark, sf_dir):
-    return A.histogram(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).withColumnsRenamed({"size": "n_rows", "n_groups": "n_keys"})
-
-
 @query("""WITH s AS (SELECT source, doc_id, CAST(quality AS BIGINT) AS r FROM documents LEFT JOIN labels USING (doc_id)), m AS (SELECT source, max(r) AS r, count(*) AS n_items, count(*) - count(r) AS n_missing FROM s GROUP BY source)
 SELECT m.source, min(s.doc_id) AS doc_id, m.r AS rank, count(*) > 1 AS tied, any_value(n_items) AS n_items, any_value(n_missing) AS n_missing FROM m JOIN s ON m.source = s.source AND m.r IS NOT DISTINCT FROM s.r GROUP BY m.source, m.r""")
 def preference(spark, sf_dir):
@@ -433,17 +332,6 @@ def bijection(spark, sf_dir):
     return joins.bijection(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""SELECT 'all' AS view, doc_id FROM documents UNION ALL SELECT 'nonredundant', min(doc_id) FROM documents GROUP BY sha256(text)
-  UNION ALL SELECT 'source_preferred', min(doc_id) FROM documents GROUP BY source UNION ALL SELECT 'best_parsing', d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1""")
-def views(spark, sf_dir):
-    """Four views of one corpus; none changes it."""
-    d = load(spark, sf_dir, "documents", "doc_id", "text", "source")
-    parts = [d.select(F.lit("all").alias("view"), "doc_id"), d.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select(F.lit("nonredundant").alias("view"), "doc_id"),
-             d.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select(F.lit("source_preferred").alias("view"), "doc_id"),
-             d.join(load(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select(F.lit("best_parsing").alias("view"), "doc_id")]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-
-
 @query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT o_orderkey FROM orders UNION SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_orderkey FROM orders INTERSECT SELECT l_orderkey FROM lineitem)
   UNION ALL SELECT 'except', count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)""")
 def set_ops(spark, sf_dir):
@@ -510,5 +398,8 @@ def graph_census(spark, sf_dir):
     return build_graph(_parsed(spark, sf_dir)).census().where("what != 'width'").select(F.col("key").alias("kind"), "n")
 
 
+from . import record_queries  # noqa: E402, F401 (registers its queries here)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_slots(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,14 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; a temporary one where that is unset."""
+    """This application's folder under spark.checkpoint.dir; a temporary one where that is unset on a local master."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is unset: the executors share no folder for intermediate tables")
+            base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         _folders[app] = f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]

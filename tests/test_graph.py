@@ -105,3 +105,13 @@ def test_discovery(spark, tmp_path):
     assert sorted(x["source_record_id"] for x in r.collect()) == ["corp/pack:three", "corp/pack:two", "corp/set:one"]
     assert record_violations(r).count() == 0
     assert parse_records(r).strict().words.count() == 6
+
+
+def test_offsets_of_more_groups_than_a_range_sample_holds(spark):
+    from lectern.operators.ids import dense_ids
+
+    groups = spark.range(0, 600_000, 1, 16).select(F.xxhash64("id").alias("key"), F.col("id").alias("unused"), F.lit("x").alias("more"))
+    rows = groups.select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("ordinal"))
+    got = dense_ids(rows, groups, "key", [F.col("key")], "ordinal").select("key", "ordinal", "node_id")
+    r = got.agg(F.count("*"), F.countDistinct("node_id"), F.min("node_id"), F.max("node_id")).collect()[0]
+    assert tuple(r) == (1_200_000, 1_200_000, 1, 1_200_000)
