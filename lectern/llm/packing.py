@@ -5,9 +5,10 @@ tokens end with an end-of-document id. Whole windows are cut off a longer
 document first; what is left goes to the fill level for which the sum of squared
 counts of partly filled windows becomes least (a new window is level 0, a full
 one leaves the count). The counts lie in an array by level, and ties go to
-the fullest level. When the split ends, the few windows still open are joined end
-to end into whole windows, and the rest is cut into sequences whose lengths are
-powers of two, which need no padding.
+the fullest level. When the split ends, the windows still open are packed again by the
+same rule, each whole, for as long as that leaves fewer of them. What stays open then is topped up: the fullest
+window takes the emptiest one, whole where it fits and cut where it does not, and only the
+last of all is cut into sequences whose lengths are powers of two. So nothing is padded.
 
 Sequences never cross tasks, so nothing is shuffled, and a task that is run
 again on the same split gives the same sequences.
@@ -52,20 +53,22 @@ class Packer:
         change = np.where(allowed, change, np.iinfo(np.int64).max)
         return int(w - size - np.argmin(change[::-1]))
 
-    def add(self, piece: tuple) -> list | None:
-        """Place a piece shorter than or as long as a window; the window's pieces if that fills it."""
-        size = len(piece[2])
+    def put(self, pieces: list, size: int) -> list | None:
+        """Place pieces of this size in one window, no longer than it; the window's pieces if that fills it."""
         level = self.level_for(size)
         content = self.open[level].pop() if level else []
         if level:
             self.counts[level] -= 1
-        content.append(piece)
+        content += pieces
         if level + size == self.window:
             return content
         self.counts[level + size] += 1
         self.open[level + size].append(content)
         return None
 
+    def add(self, piece: tuple) -> list | None:
+        return self.put([piece], len(piece[2]))
+
     def add_document(self, doc_id, ids: np.ndarray) -> Iterator[list]:
         total = len(ids)
         for at in range(0, total, self.window):
@@ -73,23 +76,51 @@ class Packer:
             if full is not None:
                 yield full
 
-    def close(self) -> Iterator[list]:
-        """The sequences made of all windows that are still open."""
-        pieces = [p for level in reversed(self.open) for content in level for p in content]
-        left = sum(len(p[2]) for p in pieces)
-        room, content = 0, []
-        for doc_id, start, ids, total in pieces:
-            while len(ids):
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                part, ids = ids[:room], ids[room:]
-                content.append((doc_id, start, part, total))
-                start, room, left = start + len(part), room - len(part), left - len(part)
-                if not room:
-                    yield content
-                    content = []
+    def _take(self) -> list[tuple[int, list]]:
+        """All open windows with their sizes, the fullest first; none stays."""
+        out = [(level, content) for level in range(self.window, 0, -1) for content in self.open[level]]
         self.counts[:] = 0
         self.open = [[] for _ in range(self.window + 1)]
+        return out
+
+    def close(self) -> Iterator[list]:
+        """The sequences made of all windows that are still open."""
+        before = None
+        while before is None or int(self.counts.sum()) < before:
+            before = int(self.counts.sum())
+            for size, content in self._take():
+                full = self.put(content, size)
+                if full is not None:
+                    yield full
+        left = self._take()
+        low, high = 0, len(left) - 1
+        while low < high:
+            (size, content), (other, small) = left[low], left[high]
+            head, tail = cut(small, self.window - size)
+            joined = size + other - sum(len(p[2]) for p in tail)
+            left[low], left[high] = (joined, content + head), (size + other - joined, tail)
+            if not tail:
+                high -= 1
+            if joined == self.window:
+                yield left[low][1]
+                low += 1
+        if low <= high and left:
+            size, content = left[low]
+            while size:
+                room = 1 << (size.bit_length() - 1)
+                head, content = cut(content, room)
+                yield head
+                size -= room
+
+
+def cut(pieces: list[tuple], room: int) -> tuple[list[tuple], list[tuple]]:
+    """Pieces up to so many tokens, and the rest."""
+    for k, (doc_id, start, ids, total) in enumerate(pieces):
+        if len(ids) > room:
+            first = [(doc_id, start, ids[:room], total)] if room else []
+            return [*pieces[:k], *first], [(doc_id, start + room, ids[room:], total), *pieces[k + 1:]]
+        room -= len(ids)
+    return pieces, []
 
 
 def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, end: int = END) -> DataFrame:

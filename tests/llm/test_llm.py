@@ -429,6 +429,36 @@ def test_packed_pieces_cover_every_document_once(spark):
             assert any(p["doc_tokens"] == len(c) and p["ids_crc32"] == zlib.crc32(c[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()) for c in copies)
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 300])
+def test_windows_left_open_are_packed_whole_before_any_is_cut(n):
+    r = random.Random(n)
+    packer, sizes, full = packing.Packer(), [r.choice([1, 3, 40, 500, 1500, 2047]) for _ in range(n)], []
+    for i, size in enumerate(sizes):
+        full += packer.add_document(i, np.full(size, i, np.uint32))
+    left = int((packer.counts * np.arange(len(packer.counts))).sum())
+    closed = list(packer.close())
+    assert sum(len(p[2]) for c in closed for p in c) == left
+    used = [sum(len(p[2]) for p in c) for c in closed]
+    assert all(u == 2048 or u & (u - 1) == 0 for u in used) and sum(u != 2048 for u in used) <= 11
+    seen: dict = {}
+    for content in full + closed:
+        for d, start, ids, total in content:
+            assert total == sizes[d] and (ids == d).all()
+            seen.setdefault(d, []).append((start, len(ids)))
+    for d, own in seen.items():
+        own.sort()
+        assert [s for s, _ in own] == [sum(x for _, x in own[:k]) for k in range(len(own))] and sum(x for _, x in own) == sizes[d]
+    assert len(seen) == n
+
+
+def test_packing_of_nothing_and_of_clashing_columns(spark):
+    assert packing.pack(documents(spark, [])).count() == 0
+    df = documents(spark, ODD).withColumns({"start": F.lit("x"), "length": F.lit(1), "sequence_id": F.lit(2)})
+    out = packing.pack(df)
+    assert out.columns == [c.split()[0] for c in packing.SCHEMA.split(", ")]
+    assert out.where("start = 0").count() == len(ODD)
+
+
 def test_the_level_minimises_the_sum_of_squares():
     r = random.Random(9)
     packer = packing.Packer(16)
