@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, small_batches
+from .hashing import Hasher, Words, parts
 
 N, MIN_WORDS, SEEDS_LEAST, THRESHOLD = 2, 8, 8, 0.4
 BLOCK_ITEMS = 20_000
@@ -38,6 +39,13 @@ EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¡«
 ADDED = ("contaminated", "item_id", "item_score")
 
 
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in EDGES if ord(c) < 128]] = True
+#: Control characters that end a word as blanks do, though the columns' hashes do not take them for blanks.
+_ODD = np.zeros(256, bool)
+_ODD[0x1C:0x20] = True
+
+
 class Vocabulary:
     """The words of some items, numbered from 1; 0 for any other word."""
 
@@ -50,7 +58,20 @@ class Vocabulary:
                 out = self[chunk] = outer.get(word, 0) if word else -1
                 return out
 
-        self.cache = Cache()
+        class Foreign(dict):
+            def __missing__(self, chunk: bytes) -> int:
+                word = chunk.decode("utf-8", "surrogatepass").lower()
+                short = word.strip(EDGES)
+                out = self[chunk] = -2 if word.split() != [word] else outer.get(short, 0) if short else -1
+                return out
+
+        self.cache, self.foreign, self.hasher = Cache(), Foreign(), Hasher(lower=True)
+        own = Words(np.frombuffer(" ".join(known).encode("utf-8", "surrogatepass"), np.uint8), np.zeros(1, np.int64))
+        self.hasher.load(own)
+        order = np.argsort(self.hasher.words)
+        self.hashes, self.numbers = self.hasher.words[order], np.fromiter(known.values(), np.int64, len(known))[order]
+        self.quick = np.zeros(1 << 16, bool)
+        self.quick[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def ids(self, text: str | None) -> np.ndarray:
         if len(self.cache) > 300_000:
@@ -59,6 +80,48 @@ class Vocabulary:
         out = np.fromiter(map(self.cache.__getitem__, chunks), np.int64, len(chunks))
         return out[out >= 0]
 
+    def every(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """What ids() gives for each text of a column; words of ASCII and Latin-1 letters are looked up by their hashes, all at once."""
+        for low, high, words in parts(texts):
+            raw, starts, ends = words.data, words.starts, words.ends
+            data = words.data = raw.copy()
+            # Letters of Latin-1, 0xC3 and another byte, are lowered in place like ASCII; words with other letters are looked up one by one.
+            latin = np.flatnonzero(raw == 0xC3) + 1
+            foreign = raw >= 128
+            foreign[latin - 1] = foreign[latin] = False
+            upper = latin[(raw[latin] < 0x9F) & (raw[latin] != 0x97)]
+            data[upper] += 0x20
+            high_bytes = np.concatenate([[0], np.cumsum(foreign)])
+            foreign = np.flatnonzero(high_bytes[ends] > high_bytes[starts])
+            chunks = [raw[a:b].tobytes() for a, b in zip(starts[foreign].tolist(), ends[foreign].tolist(), strict=True)]
+            at = np.arange(len(starts))
+            while len(at := at[(starts[at] < ends[at]) & _EDGE[data[np.minimum(starts[at], len(data) - 1)]]]):
+                starts[at] += 1
+            at = np.arange(len(starts))
+            while len(at := at[(starts[at] < ends[at]) & _EDGE[data[ends[at] - 1]]]):
+                ends[at] -= 1
+            self.hasher.load(words)
+            hashes, ids = self.hasher.words, np.zeros(len(starts), np.int64)
+            some = np.flatnonzero(self.quick[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+            if len(some) and len(self.hashes):
+                place = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
+                ids[some] = np.where(self.hashes[place] == hashes[some], self.numbers[place], 0)
+            ids[starts == ends] = -1
+            if len(self.foreign) > 300_000:
+                self.foreign.clear()
+            split = np.zeros(high - low, bool)  # texts with blanks beyond ASCII are read one by one
+            ids[foreign] = np.fromiter(map(self.foreign.__getitem__, chunks), np.int64, len(chunks))
+            split[np.searchsorted(words.first, foreign[ids[foreign] == -2], "right") - 1] = True
+            odd = np.flatnonzero(_ODD[data])
+            split[np.searchsorted(words.bounds, odd, "right") - 1] = True
+            first = words.first.tolist()
+            for i in range(high - low):
+                if split[i]:
+                    yield self.ids(texts[low + i].as_py())
+                else:
+                    own = ids[first[i]: first[i + 1]]
+                    yield own[own >= 0]
+
 
 def split_words(text: str | None) -> list[str]:
     return [w for w in (c.strip(EDGES) for c in (text or "").lower().split()) if w]
@@ -201,7 +264,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best / np.array([2 * len(a) for a in items])
 
 
-def judge(texts: list[str | None], items: Items, vocabulary: Vocabulary, threshold: float = THRESHOLD) -> list[tuple[int | None, float]]:
+def judge(texts: pa.Array | list[str | None], items: Items, vocabulary: Vocabulary, threshold: float = THRESHOLD) -> list[tuple[int | None, float]]:
     """For each text the best item (by number) that reaches the threshold, and its score."""
     out: list[tuple[int | None, float]] = [(None, 0.0)] * len(texts)
     todo: list[tuple[int, int, np.ndarray]] = []
@@ -214,8 +277,7 @@ def judge(texts: list[str | None], items: Items, vocabulary: Vocabulary, thresho
         todo.clear()
 
     mark = np.zeros(items.base, np.int64)
-    for t, text in enumerate(texts):
-        ids = vocabulary.ids(text)
+    for t, ids in enumerate(vocabulary.every(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))):
         if items.short and (i := items.verbatim(ids)) is not None and (out[t][1] < 1 or i < out[t][0]):
             out[t] = (i, 1.0)
         at, which = items.find(grams(ids, items.base, items.n))
@@ -260,8 +322,8 @@ def _counts(df: DataFrame, text: str, items: Items) -> np.ndarray:
         own = sent.value
         vocabulary, total = Vocabulary(own.known), np.zeros(len(own.seeds), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                _, which = own.find(grams(vocabulary.ids(t), own.base, own.n))
+            for ids in vocabulary.every(batch.column(0)):
+                _, which = own.find(grams(ids, own.base, own.n))
                 np.add.at(total, which, 1)
         some = np.flatnonzero(total)
         yield pa.record_batch({"seed": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
@@ -275,6 +337,7 @@ def _counts(df: DataFrame, text: str, items: Items) -> np.ndarray:
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """df with contaminated, item_id (null if clean) and item_score. benchmark: item_id, text."""
     df = df.drop(*ADDED)
+    small_batches(df.sparkSession)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").selectExpr("cast(item_id as bigint) item_id", "text")
     n_blocks = max(1, -(-items.count() // block_items))
     out = df.withColumns({"item_id": F.lit(None).cast("bigint"), "item_score": F.lit(0.0)})
@@ -299,7 +362,7 @@ def _with_block(df: DataFrame, items: Items, text: str, threshold: float) -> Dat
                 part = batch.slice(low, 512)
                 columns = {n: part.column(k) for k, n in enumerate(names)}
                 before = zip(columns["item_id"].to_pylist(), columns["item_score"].to_pylist(), strict=True)
-                found = judge(columns[text].to_pylist(), own, vocabulary, threshold)
+                found = judge(columns[text], own, vocabulary, threshold)
                 best = [(own.item_ids[i], s) if i is not None and (s, -own.item_ids[i]) > (b[1], -(b[0] or 0)) else b for (i, s), b in zip(found, before, strict=True)]
                 columns["item_id"] = pa.array([b[0] for b in best], pa.int64())
                 columns["item_score"] = pa.array([b[1] for b in best], pa.float64())

@@ -395,6 +395,16 @@ def test_masks_hold_whole_answers(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aAbÄäßÿ×÷Σσ ,.'!-\t\n\x1c\x1f\u00a0\u2003„“é0", max_size=30) | st.none(), max_size=6))
+def test_words_of_a_column_are_those_of_its_texts(texts):
+    known = {w: i + 1 for i, w in enumerate(["a", "ab", "ä", "bä", "σ", "a-b", "0", "aa", "b", "ß", "ς"])}
+    v = decontamination.Vocabulary(known)
+    got = list(v.every(pa.array(["padding", *texts], pa.string()).slice(1)))
+    assert [x.tolist() for x in got] == [v.ids(t).tolist() for t in texts]
+    assert [x.tolist() for x in v.every(pa.array(texts, pa.large_string()))] == [x.tolist() for x in got]
+
+
 # Packing
 
 def test_ids_are_the_tokenizers(spark):
