@@ -48,6 +48,16 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+#: Spark's own limit of an Arrow batch; what operators set it to where nobody else has (its default is 64 MB).
+_BATCH, _DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, however long the texts are."""
+    if spark.conf.get(_BATCH, None) in (f"{_DEFAULT}b", str(_DEFAULT), "64m"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 #: Spark's own setting: what an execution has shuffled goes when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -59,6 +69,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     on an executor that may be lost. What was shuffled for it is deleted.
     """
     spark, schema = df.sparkSession, df.schema
+    small_batches(spark)
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")

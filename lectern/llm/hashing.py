@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes whose running sums are held at once, and bytes of texts that are worked on together.
-_STRETCH, _PART = 1 << 18, 1 << 22
+_STRETCH, _PART = 1 << 18, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

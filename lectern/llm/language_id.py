@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, small_batches
 
 #: n-gram lengths with their weight in the kernel, and bits of presence for each.
 SPECTRUM, BITS = ((1, 0.5), (2, 1.0), (3, 1.5)), 1 << 14
@@ -139,9 +139,11 @@ def learn(df: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predict(df: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry (bigint or string columns), lang_pred and score."""
+    """carry (bigint or string columns; those named lang_pred or score are replaced), lang_pred and score."""
+    small_batches(df.sparkSession)
+    carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
     sent = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*carry, "text")
+    source = df.select(*carry, F.col("text").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,7 @@ def predict(df: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                texts = part.column("text").to_pylist()
+                texts = part.column("__text").to_pylist()
                 told = [i for i, t in enumerate(texts) if readable(t)] if m.languages else []
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
                 if told:

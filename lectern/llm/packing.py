@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .tokens import WordTokenizer
 
 WINDOW, END = 2048, 1
@@ -160,6 +161,7 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WIND
         if rows:
             yield taken()
 
+    small_batches(df.sparkSession)
     return df.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, mix
+from .common import crc_bucket, mix, small_batches
 
 UNITS, DIMS, NONZERO, REACH = 8192, 64, 2, 2
 UPPER, REPEAT = 0, 1  # the markers' units; hashed units start at 2
@@ -214,6 +214,7 @@ def learn(df: DataFrame, labels: DataFrame, vectors, key: str = "doc_id", text:
 def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, drop_text: bool = False) -> DataFrame:
     """df with score and predicted (columns of these names in df are replaced). labels: key, quality."""
     df = df.drop("score", "predicted")
+    small_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     vectors = context.broadcast(learn_vectors(df, text))  # UNITS x 2 DIMS floats
     network = context.broadcast(learn(df, labels, vectors, key, text, sample))
