@@ -17,7 +17,7 @@ from .plans.graph import build_graph, digest
 from .plans.parse import IntegrityError, parse_records
 from .sources.conllu import supplement
 from .sources.features import write_graph
-from .sources.records import read_records, record_violations
+from .sources.records import layout_violations, read_records, record_violations
 
 LOCAL = "local"
 
@@ -50,7 +50,7 @@ def convert(spark: SparkSession, source: str, destination: str, revision: str =
         began = time.time()
 
     records = read_records(spark, source)
-    bad = record_violations(records).take(1)
+    bad = layout_violations(spark, source).union(record_violations(records)).take(1)
     if bad:
         raise IntegrityError(f"{bad[0]['rule']}: {bad[0]['key']}")
     corpus = parse_records(records).strict()

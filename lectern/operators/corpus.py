@@ -8,7 +8,7 @@ import operator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import Graph
+from ..plans.graph import Graph, digest
 from ..plans.parse import REC
 
 
@@ -119,9 +119,12 @@ class Query:
         out = nodes.select("node_id", REC).join(self.g.documents.select(REC, "scholarly_id", *meta), REC)
         return out.withColumns({"repository": F.lit(self.repository), "revision": F.lit(self.revision)})
 
-    def with_overlay(self, overlay: DataFrame, fingerprint: str, expected: str) -> DataFrame:
-        """Words with an overlay's features by node id; refused unless it was made for this very graph."""
-        if fingerprint != expected:
+    def with_overlay(self, overlay: DataFrame, fingerprint: str) -> DataFrame:
+        """Words with an overlay's features by node id; fingerprint: the digest of the graph it was made for.
+
+        Refused unless this graph's own digest, computed anew, is the same.
+        """
+        if digest(self.g).collect()[0][0] != fingerprint:  # one row
             raise ValueError("the overlay belongs to another graph")
         return self.g.slots.join(overlay, "node_id", "left")
 

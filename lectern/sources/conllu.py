@@ -90,15 +90,16 @@ def read_record(content: bytes) -> tuple[list[tuple[int, tuple]], str, str]:
             blocks.append([])
         elif not line.startswith("#"):
             blocks[-1].append((at, line.split("\t")))
-    out, shape = [], None
+    out = []
     try:
-        for n, block in enumerate((b for b in blocks if b), 1):
-            words, problem = read_sentence(block)
-            shape = shape or problem
+        for n, block in enumerate((b for b in blocks if b), 1):  # the first sentence at fault decides
+            words, shape = read_sentence(block)
+            if shape:
+                return [], "unsupported_conllu_shape", shape
             out += [(n, w) for w in words]
     except Malformed as e:
         return [], "malformed_conllu", str(e)
-    return ([], "unsupported_conllu_shape", shape) if shape else (out, "supplemented", "")
+    return out, "supplemented", ""
 
 
 def conllu_rows(records: DataFrame) -> DataFrame:

@@ -47,6 +47,45 @@ def _members(kind: str, suffix: str):
     return run
 
 
+def layout_violations(spark: SparkSession, root: str, kind: str = "TT", suffix: str = ".tt") -> DataFrame:
+    """(rule, key): files and archive members that read_records leaves out, and archives without a record.
+
+    A conversion refuses a tree with any, so that nothing is left out in silence. Only names are read of loose files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    own = F.regexp_extract("path", rf"/([^/]+/[^/]+_{kind}/.+)\z", 1)
+    loose = files.load(root).select(own.alias("key")).where("key != ''")
+    depth = F.size(F.split("key", "/"))
+    loose = loose.select(F.when(depth != 3, "nested_record").when(~F.col("key").endswith(suffix), "unsupported_file").alias("rule"), "key").where("rule IS NOT NULL")
+    zips = files.option("pathGlobFilter", f"*_{kind}.zip").load(root).select(F.regexp_extract("path", r"([^/]+/[^/]+\.zip)\z", 1).alias("rel"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rel, content in zip(batch.column("rel").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                dataset, found, rows = rel.split("/")[-1].removesuffix(f"_{kind}.zip"), 0, []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for info in z.infolist():
+                            short = info.filename.removeprefix(f"{dataset}_{kind}/")
+                            if info.is_dir():
+                                continue
+                            if (info.external_attr >> 16) & 0o170000 == 0o120000:
+                                rows.append(("linked_member", f"{rel}!/{info.filename}"))
+                            elif "/" in short:
+                                rows.append(("nested_member", f"{rel}!/{info.filename}"))
+                            elif not short.endswith(suffix):
+                                rows.append(("unsupported_member", f"{rel}!/{info.filename}"))
+                            else:
+                                found += 1
+                    if not found:
+                        rows.append(("empty_dataset", rel))
+                except zipfile.BadZipFile:
+                    rows.append(("broken_archive", rel))
+                yield pa.record_batch({"rule": pa.array([r for r, _ in rows], pa.string()), "key": pa.array([k for _, k in rows], pa.string())})
+
+    return loose.union(zips.mapInArrow(run, "rule string, key string"))
+
+
 def record_violations(records: DataFrame) -> DataFrame:
     """(rule, key): ids that collide when case is folded, and paths without a corpus or dataset."""
     clash = records.groupBy(casefold("source_record_id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_record_id").alias("rule"), "key")

@@ -7,8 +7,9 @@ from lectern.operators.corpus import MissingFeature, Query
 from lectern.operators.relations import derive_relations, unresolved_witnesses
 from lectern.plans.graph import build_graph, digest, surface
 from lectern.plans.parse import REC, parse_records
-from lectern.sources.conllu import supplement
-from lectern.sources.records import read_records, record_violations
+from lectern.sources.conllu import read_record, supplement
+from lectern.sources.features import read_feature, write_features
+from lectern.sources.records import layout_violations, read_records, record_violations
 from tests.test_parse import F1, W1, records, wrap
 
 LAYOUT = wrap('<lb_n lb_n="1">' + W1 + 'ab<lb_n lb_n="2">c</norm><entity entity="person" head_tok="#u2"><norm xml:id="u2" norm="d" func="x" head="#u1">de</norm></entity><lb_n lb_n="3"><note note="n"></note>')
@@ -47,7 +48,8 @@ def test_edges(spark, graph):
     with pytest.raises(MissingFeature):
         q.words(colour="red")
     with pytest.raises(ValueError):
-        q.with_overlay(g.slots, "a", "b")
+        q.with_overlay(g.slots.select("node_id"), "of another graph")
+    assert q.with_overlay(g.slots.select("node_id", F.lit(1).alias("own")), digest(g).collect()[0][0]).where("own = 1").count() == g.slots.count()
     assert g.census().where("what = 'node' AND key = 'line'").collect()[0]["n"] == 3
 
 
@@ -105,6 +107,39 @@ def test_discovery(spark, tmp_path):
     assert sorted(x["source_record_id"] for x in r.collect()) == ["corp/pack:three", "corp/pack:two", "corp/set:one"]
     assert record_violations(r).count() == 0
     assert parse_records(r).strict().words.count() == 6
+    assert [tuple(x) for x in layout_violations(spark, str(tmp_path)).collect()] == [("nested_member", "corp/pack_TT.zip!/deep/er/no.tt")]
+    (tmp_path / "corp" / "set_TT" / "sub").mkdir()
+    (tmp_path / "corp" / "set_TT" / "sub" / "x.tt").write_text(F1)
+    (tmp_path / "corp" / "set_TT" / "x.txt").write_text(F1)
+    (tmp_path / "corp" / "bad_TT.zip").write_text("no archive")
+    with zipfile.ZipFile(tmp_path / "corp" / "none_TT.zip", "w") as z:
+        z.writestr("a.txt", "")
+    got = {tuple(x) for x in layout_violations(spark, str(tmp_path)).collect()}
+    assert got == {("nested_member", "corp/pack_TT.zip!/deep/er/no.tt"), ("nested_record", "corp/set_TT/sub/x.tt"), ("unsupported_file", "corp/set_TT/x.txt"), ("broken_archive", "corp/bad_TT.zip"),
+                   ("unsupported_member", "corp/none_TT.zip!/a.txt"), ("empty_dataset", "corp/none_TT.zip")}
+
+
+def test_the_first_sentence_at_fault_decides():
+    shape, wrong = line("1", "a", deps="1:x"), line("2", "a")
+    assert read_record(f"{shape}\n\n{wrong}\n".encode())[1] == "unsupported_conllu_shape"
+    assert read_record(f"{wrong}\n\n{shape}\n".encode())[1] == "malformed_conllu"
+
+
+def test_features_are_projected_and_read_back(spark, graph, tmp_path):
+    _, g = graph
+    path = f"{tmp_path}/features"
+    names = write_features(g, path, {"made": "by a test"})
+    assert {"otype", "oslots", "norm", "source_text", "dependency_head", "parent", "direct_word"} <= set(names)
+    values = {r["node_id"]: r["value"] for r in read_feature(spark, f"{path}/norm").collect()}
+    assert values == {r["node_id"]: r["norm"] for r in g.slots.collect() if r["norm"] is not None}
+    kinds = {r["node_id"]: r["value"] for r in read_feature(spark, f"{path}/otype").collect()}
+    assert kinds == {r["node_id"]: "word" for r in g.slots.collect()} | {r["node_id"]: r["otype"] for r in g.nodes.collect()}
+    heads = {(r["src"], r["dst"]) for r in read_feature(spark, f"{path}/dependency_head").collect()}
+    assert heads == {(r["src"], r["dst"]) for r in g.edges.where("kind = 'dependency_head'").collect()}
+    assert any(n.startswith("meta_") for n in names)
+    with pytest.raises(FileExistsError):
+        write_features(g, path)
+    assert [p.name for p in tmp_path.iterdir()] == ["features"]
 
 
 def test_offsets_of_more_groups_than_a_range_sample_holds(spark):
