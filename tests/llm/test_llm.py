@@ -596,3 +596,79 @@ def test_the_pipeline_keeps_clean_documents_and_acts_on_the_others(spark, tmp_pa
 def test_every_operator_has_a_query():
     assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11)] == [1] * 10
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+# Odd tables
+
+def long_text(r):
+    return prose(r, 60_000)
+
+
+def test_languages_of_odd_tables(spark):
+    r = random.Random(12)
+    words = {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["zwölf", "ungeheuer", "schön", "haus"]}
+    rows = [(i, " ".join(r.choice(words[g]) for _ in range(30)), g) for i in range(60) for g in (("xx", "yy")[i % 2],)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    odd = [*ODD, (6, "12 34 !!"), (7, "alpha beta " * 50_000), (7, "alpha beta " * 50_000)]
+    df = spark.createDataFrame([(d, t, 5, "old") for d, t in odd], "doc_id bigint, text string, score int, lang_pred string")
+    got = language_id.predict(df, model, carry=("doc_id", "score", "lang_pred"))
+    assert got.columns == ["doc_id", "lang_pred", "score"]
+    found = [(x["doc_id"], x["lang_pred"]) for x in got.collect()]
+    assert found.count((7, "xx")) == 2 and (1, "und") in found and (6, "und") in found and (2, "und") in found
+    assert all(0 <= x["score"] <= 1 for x in got.collect())
+    assert language_id.predict(df.limit(0), model).count() == 0
+    assert {x["lang_pred"] for x in language_id.predict(df, language_id.learn(spark.createDataFrame([], "doc_id bigint, text string, lang string"))).collect()} == {"und"}
+
+
+def test_quality_of_odd_tables(spark):
+    r = random.Random(13)
+    rows = [(i, prose(r, 40) if i % 2 else "zz zz zz junk junk " * 8) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, quality int")
+    odd = [*ODD, (900, long_text(r)), (901, rows[1][1]), (901, rows[1][1])]
+    df = documents(spark, rows + odd).withColumns({"predicted": F.lit("x"), "__k": F.lit(1), "unit": F.lit(2)})
+    got = quality_classifier.score(df, labels).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= x["score"] <= 1 for x in got)
+    assert all(x["predicted"] == (x["score"] >= 0.3) for x in got)
+    same = {x["score"] for x in got if x["text"] == rows[1][1]}
+    assert len(same) == 1  # scores depend on the text alone
+    assert quality_classifier.score(df.limit(0), labels).count() == 0
+
+
+def test_a_host_verdict_rejects_clean_documents_of_a_bad_host(spark):
+    r = random.Random(14)
+    good = [(i, prose(r, 60), "good") for i in range(60)]
+    bad = [(100 + i, "tick " * 60 if i % 10 else prose(r, 60), "bad") for i in range(60)]
+    df = spark.createDataFrame(good + bad, "doc_id bigint, text string, source string")
+    got = {x["doc_id"]: x for x in quality_rules.judge_documents(df).collect()}
+    assert all(got[d]["kept"] for d, _, _ in good)
+    clean = [d for d, t, _ in bad if not got[d]["base_failed"]]
+    assert len(clean) == 6 and not any(got[d]["kept"] for d in clean)
+
+
+def test_leaks_of_odd_tables(spark):
+    r = random.Random(15)
+    item = prose(r, 30)
+    bench = spark.createDataFrame([(2, item), (1, item), (None, item), (3, None), (4, "")], "item_id bigint, text string")
+    rows = [(1, f"{prose(r, 30_000)} {item} {prose(r, 30_000)}"), (2, item), (2, item), (3, None), (4, ""), (None, item)]
+    df = documents(spark, rows).withColumns({"item_score": F.lit("x"), "seed": F.lit(1)})
+    got = sorted(((x["doc_id"] or 0, x["item_id"], x["item_score"], x["contaminated"]) for x in decontamination.find_leaks(df, bench).collect()), key=str)
+    assert got == [(0, 1, 1.0, True), (1, 1, 1.0, True), (2, 1, 1.0, True), (2, 1, 1.0, True), (3, None, 0.0, False), (4, None, 0.0, False)]
+
+
+def test_the_stages_take_odd_tables(spark, tmp_path):
+    r = random.Random(16)
+    labelled = [(i, prose(r, 40) if i % 2 else "zz zz zz junk junk " * 8) for i in range(60)]
+    rows = [*labelled, *ODD, (900, prose(r, 20_000)), (901, labelled[1][1]), (901, labelled[1][1])]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(r, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for data in (rows, []):
+            df = documents(spark, data).withColumns({"row": F.lit(1), "first": F.lit("x"), "__carried_0": F.lit(2)})
+            out = stage(spark, df, str(tmp_path))
+            found = out.collect()
+            assert name == "packing" or out.columns == df.columns
+            assert len(found) >= (len(data) > 0)
+            if name == "near_duplicates" and data:
+                assert sum(x["text"] == labelled[1][1] for x in found) == 1 and sum(x["text"] == "same" for x in found) == 1
+            if name in ("decontamination", "secrets"):
+                assert len(found) == len(data)
