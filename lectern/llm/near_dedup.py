@@ -19,7 +19,7 @@
    confirmed by that of the full sets.
 6. Components of the confirmed links.
 
-Between sets up to SCREEN values all bounds are exact. Beyond, the number of sketch values
+Between sets whose union is within SCREEN values all bounds are exact. Beyond, the number of sketch values
 that a similar pair shares is bounded at SIGMAS standard deviations: a link is lost with a
 probability below 1e-6, and only if its similarity is just at the limit.
 
