@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches
+from .common import mix, small_batches, tidy
 from .hashing import Hasher, Words, parts
 
 N, MIN_WORDS, SEEDS_LEAST, THRESHOLD = 2, 8, 8, 0.4
@@ -329,7 +329,7 @@ def _counts(df: DataFrame, text: str, items: Items) -> np.ndarray:
         yield pa.record_batch({"seed": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 
     out = np.zeros(len(items.codes), np.int64)
-    for r in df.select(text).mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect():
+    for r in df.select(text).mapInArrow(tidy(run), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect():
         out[r["seed"]] = r["n"]  # at most as many rows as the block has n-grams
     return out
 
@@ -368,7 +368,7 @@ def _with_block(df: DataFrame, items: Items, text: str, threshold: float) -> Dat
                 columns["item_score"] = pa.array([b[1] for b in best], pa.float64())
                 yield pa.record_batch(list(columns.values()), names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

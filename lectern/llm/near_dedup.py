@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep, sheltered
+from .common import discard, keep, sheltered, tidy
 from .graph import components
 from .hashing import Hasher, parts
 
@@ -203,12 +203,12 @@ def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     ends = lambda of: of.select(F.col("a").alias("node")).union(of.select(F.col("b").alias("node"))).distinct()
     sketch = lambda s: own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     own = keep(full.select("node", "n", F.slice("values", 1, UNION).alias("sketch")).join(ends(pairs), "node"), "asked-sketches")
-    passed = keep(pairs.join(sketch("b"), "b").join(sketch("a"), "a").mapInArrow(_estimate(percent, UNION), "a bigint, b bigint, sure boolean"), "estimated")
+    passed = keep(pairs.join(sketch("b"), "b").join(sketch("a"), "a").mapInArrow(tidy(_estimate(percent, UNION)), "a bigint, b bigint, sure boolean"), "estimated")
     discard(pairs, own)
     unsure = passed.where("not sure").select("a", "b")
     whole = keep(full.join(ends(unsure), "node"), "asked-sets")
     values = lambda s: whole.select(F.col("node").alias(s), F.col("values").alias(f"values_{s}"))
-    confirmed = unsure.join(values("b"), "b").join(values("a"), "a").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    confirmed = unsure.join(values("b"), "b").join(values("a"), "a").mapInArrow(tidy(_confirm(percent)), "a bigint, b bigint")
     found = keep(passed.where("sure").select("a", "b").union(confirmed), "links")
     discard(passed, whole)
     return found
@@ -235,7 +235,7 @@ def _full_sets(texts: DataFrame, named: DataFrame, words: int) -> DataFrame:
     count = named.count()
     named = named.select("node", F.col("rep").alias("d"), F.col("tfp").alias("t"))
     found = texts.join(F.broadcast(named) if count <= BROADCAST_ROWS else named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tfp") == F.col("t")))
-    full = keep(found.select("node", "text").mapInArrow(_full_rows(words), "node bigint, n bigint, values array<bigint>"), "sets")
+    full = keep(found.select("node", "text").mapInArrow(tidy(_full_rows(words)), "node bigint, n bigint, values array<bigint>"), "sets")
     if full.count() > count:  # rows repeat a doc_id and its text
         once, again = keep(full.dropDuplicates(["node"]), "sets"), full
         discard(again)
@@ -280,7 +280,7 @@ def _open(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFram
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = K) -> DataFrame:
     """doc_id, tfp (xxhash64 of the text), n_shingles component_id (the least doc_id linked) and first (one row of each component) of every row."""
     texts = _texts(df)
-    rows = texts.mapInArrow(_sketch_rows(words, min(k, SCREEN)), "doc_id bigint, tfp bigint, n bigint, fp binary, sketch array<bigint>")
+    rows = texts.mapInArrow(tidy(_sketch_rows(words, min(k, SCREEN))), "doc_id bigint, tfp bigint, n bigint, fp binary, sketch array<bigint>")
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     classes = keep(_classes(rows), "classes")
     screened = _screened(classes, percent, min(k, SCREEN))

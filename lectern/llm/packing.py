@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
-from .tokens import WordTokenizer
+from .common import small_batches, tidy
+from .tokens import word_tokenizer
 
 WINDOW, END = 2048, 1
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -73,7 +73,8 @@ class Packer:
     def add_document(self, doc_id, ids: np.ndarray) -> Iterator[list]:
         total = len(ids)
         for at in range(0, total, self.window):
-            full = self.add((doc_id, at, ids[at : at + self.window], total))
+            part = ids[at : at + self.window]
+            full = self.add((doc_id, at, part.copy() if at else part, total))  # a view would hold the whole document
             if full is not None:
                 yield full
 
@@ -130,7 +131,7 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WIND
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenize, packer = WordTokenizer(tokenizer), Packer(window)
+        tokenize, packer = word_tokenizer(tokenizer), Packer(window)
         number = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 
@@ -162,7 +163,7 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WIND
             yield taken()
 
     small_batches(df.sparkSession)
-    return df.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    return df.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

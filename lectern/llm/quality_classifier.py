@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, mix, small_batches
+from .common import crc_bucket, mix, small_batches, tidy
 
 UNITS, DIMS, NONZERO, REACH = 8192, 64, 2, 2
 UPPER, REPEAT = 0, 1  # the markers' units; hashed units start at 2
@@ -130,7 +130,7 @@ def learn_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
         some = np.flatnonzero(total.any(1))
         yield pa.record_batch([pa.array(some, pa.int32()), *(pa.array(total[some, i]) for i in range(DIMS))], names=["unit", *names])
 
-    sums = df.select(text).mapInArrow(run, "unit int, " + ", ".join(f"{n} bigint" for n in names))
+    sums = df.select(text).mapInArrow(tidy(run), "unit int, " + ", ".join(f"{n} bigint" for n in names))
     rows = sums.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names)).collect()  # UNITS rows at most
     context = np.zeros((UNITS, DIMS))
     for r in rows:
@@ -204,7 +204,7 @@ def learn(df: DataFrame, labels: DataFrame, vectors, key: str = "doc_id", text:
             found = [pooled(t, vectors.value).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"__k": batch.column("__k"), "quality": batch.column("quality").cast(pa.int32()), "pooled": pa.array(found, pa.binary())})
 
-    rows = taken.select("__k", "quality", "text").mapInArrow(pool, "__k bigint, quality int, pooled binary")
+    rows = taken.select("__k", "quality", "text").mapInArrow(tidy(pool), "__k bigint, quality int, pooled binary")
     rows = rows.groupBy("__k").agg(F.min("quality").alias("quality"), F.min("pooled").alias("pooled"), (F.min(crc_bucket("__k", 5)) == 1).alias("calibrate")).collect()
     rows.sort(key=lambda r: r["__k"])
     x = np.array([np.frombuffer(r["pooled"], np.float32) for r in rows], np.float64).reshape(-1, WIDTH)
@@ -227,7 +227,7 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             x = np.array([pooled(t, vectors.value) for t in batch.column(place).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield pa.record_batch([*(batch.column(i) for i in shown), pa.array(network.value.scores(x), pa.float64())], names=[*(f.name for f in kept), "score"])
 
-    out = df.mapInArrow(run, schema)
+    out = df.mapInArrow(tidy(run), schema)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 

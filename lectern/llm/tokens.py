@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 
@@ -36,7 +37,7 @@ class WordTokenizer:
     any other chunk is encoded by the tokenizer itself.
     """
 
-    def __init__(self, name: str = "word_bpe_49k.json", most: int = 300_000):
+    def __init__(self, name: str = "word_bpe_49k.json", most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
@@ -93,3 +94,9 @@ class WordTokenizer:
         bounds = taken.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
         values = taken.values.to_numpy()
         return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokenizer(name: str) -> WordTokenizer:
+    """This process's one tokenizer: a worker's tasks share it and what it has looked up, and none of theirs stays behind."""
+    return WordTokenizer(name)
