@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import chat_format, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, url_filters
-from lectern.llm.common import keep
+from lectern.llm.common import keep, tidy
 from lectern.llm.queries import ORACLE_SQL, QUERIES
 from lectern.llm.tokens import WordTokenizer
 from lectern.llm.trigrams import trigram_query, vocabulary
@@ -414,6 +414,26 @@ def test_ids_are_the_tokenizers(spark):
         assert [x.tolist() for x in t(pa.array(texts))] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_open_windows_hold_no_whole_document():
+    packer = packing.Packer(16)
+    full = list(packer.add_document(1, np.arange(1000, dtype=np.uint32)))
+    held = [ids for level in packer.open for content in level for _, _, ids, _ in content]
+    assert len(full) == 62 and [x.tolist() for x in held] == [list(range(992, 1000))]
+    assert all(x.base is None for x in held)
+
+
+def test_tidy_passes_every_batch_and_fails_with_its_task():
+    batch = pa.record_batch({"x": [1, 2]})
+    assert list(tidy(lambda batches: (b for b in batches))(iter([batch, batch]))) == [batch, batch]
+
+    def broken(batches):
+        yield next(batches)
+        raise ValueError("in a task")
+
+    with pytest.raises(ValueError, match="in a task"):
+        list(tidy(broken)(iter([batch])))
+
+
 def test_packed_pieces_cover_every_document_once(spark):
     r = random.Random(8)
     rows = [(i, prose(r, r.choice([0, 1, 5, 100, 900, 5000]))) for i in range(80)] + ODD
