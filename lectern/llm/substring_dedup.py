@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep
+from .common import discard, keep, tidy
 from .hashing import Hasher, Words, parts
 
 WINDOW, SEED = 35, 8
@@ -120,7 +120,7 @@ def _ends(place) -> list:
 
 def pieces(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, start, n, first, last): the n windows from start on occur elsewhere too; first and last: places of theirs. fp: xxhash64 of the text."""
-    rows = keep(_texts(df).mapInArrow(_phrase_rows(window, seed), "doc_id bigint, fp bigint, block bigint, h0 bigint, h1 bigint, start int, n int"), "phrases")
+    rows = keep(_texts(df).mapInArrow(tidy(_phrase_rows(window, seed)), "doc_id bigint, fp bigint, block bigint, h0 bigint, h1 bigint, start int, n int"), "phrases")
     blocks = rows.groupBy("block").agg(F.count("*").alias("c"), *(f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in _KEY))
     mixed = (F.col("min_h0") != F.col("max_h0")) | (F.col("min_h1") != F.col("max_h1"))
     blocks = keep(blocks.where("c > 1").select("block", mixed.alias("mixed")), "blocks")
@@ -137,7 +137,7 @@ def pieces(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     discard(entries)
     # Rows that repeat a doc_id and its text need no care here: all their phrases have copies.
     texts = _texts(df).join(per_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f"))).select("doc_id", "fp", "text", "spans")
-    windows = keep(texts.mapInArrow(_window_rows(window), "doc_id bigint, fp bigint, h0 bigint, h1 bigint, start int, copies bigint"), "windows")
+    windows = keep(texts.mapInArrow(tidy(_window_rows(window)), "doc_id bigint, fp bigint, h0 bigint, h1 bigint, start int, copies bigint"), "windows")
     twice = windows.groupBy(*_KEY).agg(F.sum("copies").alias("c"), F.min("copies").alias("least"), *_ends(place))
     twice = keep(twice.where("c > 1 and least = 1").select(*_KEY, "first", "last"), "twice")
     edges = keep(windows.where("copies = 1").join(twice, _KEY).select("doc_id", "fp", "start", F.lit(1).alias("n"), "first", "last"), "edges")
@@ -145,46 +145,98 @@ def pieces(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     return whole.union(edges)
 
 
-def parse(own: tuple, found: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """The factors (start, length, source) of the text at own (doc_id, fp) from its pieces (start, n, first, last).
+_PLACE = pa.struct([("doc_id", pa.int64()), ("fp", pa.int64()), ("start", pa.int32())])
+_FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", _PLACE)])
+#: Pieces that are parsed together, in whole texts.
+_TOGETHER = 1 << 14
 
-    A source is a place (doc_id, fp, start) from which on the factor's words stand again.
-    """
-    factors, live, start, end = [], [], None, None
-    for at, n, first, last in sorted(found, key=lambda x: x[0]):
-        # Rows that repeat doc_id and text are each other's source, at the same place.
-        sources = [s for s in (first, last) if s != (*own, at)] or [first]
-        going = [(d, f, s) for d, f, s in live if (d, f, s + at - start) in sources] if at == end else []
-        if going:
-            live = going
-        else:
-            if live:
-                factors.append((start, end - start + window - 1, live[0]))
-            start, live = at, sources
-        end = at + n
-    if live:
-        factors.append((start, end - start + window - 1, live[0]))
-    return factors
 
+class _Places:
+    """Places (doc_id, fp, start), doc_id with nulls as a column of its own."""
 
-_PLACE = pa.struct([("doc_id", pa.int64()), ("fp", pa.int64()), ("start", pa.int32())])
+    def __init__(self, none: np.ndarray, doc_id: np.ndarray, fp: np.ndarray, start: np.ndarray):
+        self.columns = none, doc_id, fp, start
 
+    @classmethod
+    def of(cls, structs: pa.StructArray, order: np.ndarray) -> _Places:
+        doc_id, fp, start = structs.flatten()
+        return cls(*(x.to_numpy(zero_copy_only=False)[order] for x in (doc_id.is_null(), doc_id.fill_null(0), fp, start)))
 
-def factorize(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, factors) of every text with repeats; factors: its start, length and source in the order of the text."""
-    found = pieces(df, window, seed).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "n", "first", "last")).alias("pieces"))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", _PLACE)]))
+    def __getitem__(self, at) -> _Places:
+        return _Places(*(x[at] for x in self.columns))
+
+    def where(self, mask: np.ndarray, other: _Places) -> _Places:
+        return _Places(*(np.where(mask, x, y) for x, y in zip(self.columns, other.columns, strict=True)))
+
+    def moved(self, other: _Places, by) -> np.ndarray:
+        """Whether the other places are these, so many words on."""
+        none, doc_id, fp, start = (x == y for x, y in zip((*self.columns[:3], self.columns[3] + by), other.columns, strict=True))
+        return none & doc_id & fp & start
+
+    def array(self) -> pa.StructArray:
+        none, doc_id, fp, start = self.columns
+        return pa.StructArray.from_arrays([pa.array(doc_id, pa.int64(), mask=none), pa.array(fp, pa.int64()), pa.array(start, pa.int32())], fields=list(_PLACE))
 
+
+def parse(doc_id: pa.Array, fp: pa.Array, pieces: pa.ListArray, window: int = WINDOW) -> pa.ListArray:
+    """The factors (start, length, source) of each text (doc_id, fp) from its pieces (start, n, first, last).
+
+    A source is a place (doc_id, fp, start) from which on the factor's words stand again.
+    """
+    text = np.repeat(np.arange(len(pieces)), pieces.value_lengths().to_numpy())
+    at, n, first, last = pieces.flatten().flatten()
+    order = np.lexsort((at.to_numpy(), text))
+    at, n = at.to_numpy()[order].astype(np.int64), n.to_numpy()[order].astype(np.int64)
+    first, last = _Places.of(first, order), _Places.of(last, order)
+    own = _Places(*(x.to_numpy(zero_copy_only=False)[text] for x in (doc_id.is_null(), doc_id.fill_null(0), fp)), at)
+    # Rows that repeat doc_id and text are each other's source, at the same place.
+    first = last.where(first.moved(own, 0) & ~last.moved(own, 0), first)
+    last = first.where(last.moved(own, 0), last)
+    # Piece i's sources are the nodes i (first) and i + size (last). Where the next piece goes on from a node, that is followed to the last such.
+    size = len(at)
+    to = np.arange(2 * size)
+    joined = (text[1:] == text[:-1]) & (at[1:] == at[:-1] + n[:-1])
+    step = at[1:] - at[:-1]
+    for low, here in ((0, first), (size, last)):
+        for beyond, there in ((size, last), (0, first)):
+            on = np.flatnonzero(joined & here[:-1].moved(there[1:], step))
+            to[low + on] = beyond + on + 1
+    while True:
+        further = to[to]
+        if np.array_equal(further, to):
+            break
+        to = further
+    reach = to % max(size, 1)
+    ends = np.maximum(reach[:size], reach[size:])
+    heads, i, leap = [], 0, ends.tolist()
+    while i < size:
+        heads.append(i)
+        i = leap[i] + 1
+    heads = np.array(heads, np.int64)
+    tails = ends[heads]
+    source = first[heads].where(reach[heads] == tails, last[heads]).array()
+    length = at[tails] + n[tails] - at[heads] + window - 1
+    factors = pa.StructArray.from_arrays([pa.array(at[heads], pa.int32()), pa.array(length, pa.int32()), source], fields=list(_FACTOR))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[heads], np.arange(len(pieces) + 1)), pa.int32()), factors)
+
+
+def _factor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = lambda x: (x["doc_id"], x["fp"], x["start"])
-            out = []
-            for d, f, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "fp", "pieces")), strict=True):
-                got = parse((d, f), [(p["start"], p["n"], flat(p["first"]), flat(p["last"])) for p in own], window)
-                out.append([{"start": s, "length": n, "source": dict(zip(("doc_id", "fp", "start"), src, strict=True))} for s, n, src in got])
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": batch.column("fp"), "factors": pa.array(out, kind)})
+            ends, low = np.cumsum(batch.column("pieces").value_lengths().to_numpy().astype(np.int64)), 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _TOGETHER, "right")))
+                doc_id, fp, own = batch.slice(low, high - low).columns
+                yield pa.record_batch({"doc_id": doc_id, "fp": fp, "factors": parse(doc_id, fp, own, window)})
+                low = high
+
+    return run
+
 
-    return found.mapInArrow(run, "doc_id bigint, fp bigint, factors array<struct<start:int,length:int,source:struct<doc_id:bigint,fp:bigint,start:int>>>")
+def factorize(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, factors) of every text with repeats; factors: its start, length and source in the order of the text."""
+    found = pieces(df, window, seed).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "n", "first", "last")).alias("pieces"))
+    return found.mapInArrow(tidy(_factor_rows(window)), "doc_id bigint, fp bigint, factors array<struct<start:int,length:int,source:struct<doc_id:bigint,fp:bigint,start:int>>>")
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -216,7 +268,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
                     factors.append(len(starts))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_factors": pa.array(factors, pa.int64()), "kept": pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())})
 
-    return texts.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, n_factors bigint, kept string")
+    return texts.mapInArrow(tidy(run), "doc_id bigint, n_words bigint, n_removed bigint, n_factors bigint, kept string")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

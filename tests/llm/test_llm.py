@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -248,6 +249,54 @@ def test_factors_stand_again_at_their_source(spark):
     assert [(f["start"], f["length"]) for f in by[200]] == [(0, len(texts[200]))]
 
 
+def plain_parse(own, found, window):
+    """The factors of one text, piece by piece."""
+    factors, live, start, end = [], [], None, None
+    for at, n, first, last in sorted(found, key=lambda x: x[0]):
+        sources = [s for s in (first, last) if s != (*own, at)] or [first]
+        going = [(d, f, s) for d, f, s in live if (d, f, s + at - start) in sources] if at == end else []
+        if not going and live:
+            factors.append((start, end - start + window - 1, live[0]))
+        if not going:
+            start, going = at, sources
+        live, end = going, at + n
+    return [*factors, (start, end - start + window - 1, live[0])] if live else factors
+
+
+def piece_batch(texts):
+    place = lambda p: dict(zip(("doc_id", "fp", "start"), p, strict=True))
+    own = [[{"start": at, "n": n, "first": place(x), "last": place(y)} for at, n, x, y in found] for _, found in texts]
+    kind = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("first", substring_dedup._PLACE), ("last", substring_dedup._PLACE)])
+    ids = [pa.array([k[i] for k, _ in texts], pa.int64()) for i in (0, 1)]
+    return pa.record_batch({"doc_id": ids[0], "fp": ids[1], "pieces": pa.array(own, pa.list_(kind))})
+
+
+def test_texts_are_parsed_together_as_they_are_one_by_one():
+    r, texts = random.Random(12), []
+    for _ in range(400):
+        d, f, at, found = r.choice([None, 0, 1, 2]), r.randrange(2), 0, []
+        for _ in range(r.choice([0, 1, 3, 30])):
+            places = [(d, f, at), (1, 0, at), (1, 0, at + 3), (0, 1, at + 7), (None, 0, at + 1), (2, 1, r.randrange(50))]
+            found.append((at, n := r.choice([1, 1, 2, 5]), r.choice(places), r.choice(places)))
+            at += n + r.choice([0, 0, 0, 1])
+        texts.append(((d, f), r.sample(found, len(found))))
+    batch = piece_batch(texts)
+    got = [x for low in (0, 7) for b in substring_dedup._factor_rows(10)(iter([batch.slice(low, 7 if not low else None)])) for x in b.column("factors").to_pylist()]
+    for (own, found), factors in zip(texts, got, strict=True):
+        assert [(x["start"], x["length"], tuple(x["source"].values())) for x in factors] == plain_parse(own, found, 10)
+
+
+def test_parsing_holds_few_pieces_at_once():
+    one = piece_batch([((0, 0), [(7 * i, 7, (1, 0, 7 * i), (2, 0, 9 * i)) for i in range(1000)])])
+    batch = pa.Table.from_batches([one] * 120).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in substring_dedup._factor_rows(35)(iter([batch]))) == 120
+        assert tracemalloc.get_traced_memory()[1] < 20e6  # 120,000 pieces as Python objects take over 80 MB
+    finally:
+        tracemalloc.stop()
+
+
 def test_repeats_of_nothing(spark):
     assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
     assert substring_dedup.remove_repeats(documents(spark, ODD).withColumns({"fp": F.lit(1), "spans": F.lit("x"), "start": F.lit(2)})).count() == len(ODD)
