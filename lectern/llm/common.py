@@ -61,7 +61,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hand what was freed back to the system: allocators keep it otherwise, and the worker lives on for other stages."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other libraries have none
@@ -75,7 +75,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return tidied
 

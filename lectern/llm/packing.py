@@ -31,6 +31,8 @@ from .common import small_batches, tidy
 from .tokens import word_tokenizer
 
 WINDOW, END = 2048, 1
+#: Documents that are tokenised together.
+TOGETHER = 128
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -150,13 +152,14 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WIND
 
         last = np.array([end], np.uint32)
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
+            for low in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(low, TOGETHER)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenize(part.column("text")), strict=True):
                     for content in packer.add_document(doc_id, np.concatenate([ids, last])):
                         put(content)
                 if len(rows) > 8192:
                     yield taken()
+        tokenize.forget()
         for content in packer.close():
             put(content)
         if rows:

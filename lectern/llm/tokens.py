@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import tokenizer_path
+from .common import give_back, tokenizer_path
 
 #: Letters for which Python and the tokenizer agree on case and class, for the short way.
 _LOW = "a-zß-öø-ÿ"
@@ -37,7 +37,7 @@ class WordTokenizer:
     any other chunk is encoded by the tokenizer itself.
     """
 
-    def __init__(self, name: str = "word_bpe_49k.json", most: int = 100_000):
+    def __init__(self, name: str = "word_bpe_49k.json", most: int = 50_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
@@ -64,6 +64,11 @@ class WordTokenizer:
         Chunks.forget = lambda _: old.clear()
         self.chunks = Chunks({"": b""})
 
+    def forget(self) -> None:
+        """Drop all that was looked up."""
+        self._turn_over()
+        self._turn_over()
+
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
@@ -85,6 +90,7 @@ class WordTokenizer:
         """The ids of each text (null: none), in the order of texts."""
         if len(self.chunks) > self.most:
             self._turn_over()
+            give_back()  # what a generation leaves lies scattered, and would add up
         split = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()).fill_null(""), "\n", " "), " ")
         coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
         ids = list(map(self.chunks.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
@@ -98,5 +104,5 @@ class WordTokenizer:
 
 @functools.lru_cache(maxsize=1)
 def word_tokenizer(name: str) -> WordTokenizer:
-    """This process's one tokenizer: a worker's tasks share it and what it has looked up, and none of theirs stays behind."""
+    """This process's one tokenizer, which a worker's tasks share."""
     return WordTokenizer(name)

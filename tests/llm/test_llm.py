@@ -463,6 +463,14 @@ def test_ids_are_the_tokenizers(spark):
         assert [x.tolist() for x in t(pa.array(texts))] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_a_tokenizer_forgets_and_gives_the_same_ids():
+    t, texts = WordTokenizer(), pa.array(["one two's 3", "漢字 one"])
+    before = [x.tolist() for x in t(texts)]
+    t.forget()
+    assert dict(t.chunks) == {"": b""} and not t.pieces
+    assert [x.tolist() for x in t(texts)] == before
+
+
 def test_open_windows_hold_no_whole_document():
     packer = packing.Packer(16)
     full = list(packer.add_document(1, np.arange(1000, dtype=np.uint32)))
